@@ -99,8 +99,8 @@ def cramers_matrix(df: DataFrame, columns: Sequence[str], missing: str = "Unknow
     filled = df.select(*columns).na.fill(missing)
     tests = cramers_v(chi_square(pair_cells(filled, columns), ["col1", "col2"]))
     both = F.array(
-        F.struct(F.col("col1").alias("col1"), F.col("col2").alias("col2"), F.col("v").alias("v")),
-        F.struct(F.col("col2"), F.col("col1"), F.col("v")),
+        F.struct("col1", "col2", "v"),
+        F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "v"),
     )
     one = F.slice(both, 1, 1)
     return tests.select(F.inline(F.when(F.col("col1") == F.col("col2"), one).otherwise(both)))

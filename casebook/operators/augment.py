@@ -12,12 +12,20 @@ from casebook.functions.text import MAX_PARAPHRASE_CHARS, has_non_ascii, within_
 Paraphrase = Callable[[str], str | None]
 
 
-def swap_neighbours(text: str) -> str:
-    """An offline paraphrase: every two neighbouring words change places."""
-    parts = text.split()
-    for i in range(0, len(parts) - 1, 2):
-        parts[i], parts[i + 1] = parts[i + 1], parts[i]
-    return " ".join(parts)
+def neighbour_swap() -> Paraphrase:
+    """An offline paraphrase: every two neighbouring words change places.
+
+    The function is made here, so it travels to the workers by value and they need no copy of
+    this package.
+    """
+
+    def swap(text: str) -> str:
+        parts = text.split()
+        for i in range(0, len(parts) - 1, 2):
+            parts[i], parts[i + 1] = parts[i + 1], parts[i]
+        return " ".join(parts)
+
+    return swap
 
 
 def minority_rows(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
@@ -28,7 +36,7 @@ def minority_rows(df: DataFrame, column: str, labels: Sequence[str]) -> DataFram
 def paraphrase_rows(
     df: DataFrame,
     text_column: str,
-    paraphrase: Paraphrase = swap_neighbours,
+    paraphrase: Paraphrase,
     id_column: str = "doc_id",
     limit: int = MAX_PARAPHRASE_CHARS,
     tasks: int | None = None,

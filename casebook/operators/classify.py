@@ -32,16 +32,21 @@ LEVEL2_GRID = [0.1, 1.0, 5.0]
 # A label column with more values than this is taken for a mistake.
 MAX_CLASSES = 1000
 
+# A small training set is read in few tasks: every task of every iteration sends a whole
+# gradient, which costs more than its rows do.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass(frozen=True)
 class Settings:
     """Training parameters shared by all fits."""
 
     c: float = 1.0
-    max_iter: int = 100
+    max_iter: int = 1000
+    tol: float = 1e-4
     calibration_folds: int = 3
     folds: int = 5
-    threads: int = 4
+    threads: int = 8
     id_column: str = "doc_id"
 
 
@@ -85,6 +90,11 @@ def _lookup(label: str, values: dict) -> Column:
     )
 
 
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """Merge the splits of a small table; a large one keeps its splits."""
+    return df.coalesce(rows // ROWS_PER_TASK + 1)
+
+
 def _balanced(sizes: dict[str, int]) -> dict[str, float]:
     n, k = sum(sizes.values()), len(sizes)
     return {c: n / (k * m) for c, m in sizes.items()}
@@ -119,14 +129,15 @@ def fit_logistic(train: DataFrame, label: str, s: Settings) -> Logistic:
     the number of rows.
     """
     sizes = class_sizes(train, label)
-    frame = train.where(F.col(label).isNotNull()).select(
+    n = sum(sizes.values())
+    frame = _compact(train.where(F.col(label).isNotNull()), n).select(
         "features",
         _lookup(label, {c: i for i, c in enumerate(sizes)}).alias("_y"),
         _lookup(label, _balanced(sizes)).alias("_w"),
     )
     fitted = LogisticRegression(
         featuresCol="features", labelCol="_y", weightCol="_w", elasticNetParam=0.0,
-        regParam=1.0 / (s.c * sum(sizes.values())), standardization=False, maxIter=s.max_iter,
+        regParam=1.0 / (s.c * n), standardization=False, maxIter=s.max_iter, tol=s.tol,
     ).fit(frame)
     return Logistic(list(sizes), fitted)
 
@@ -178,9 +189,10 @@ def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedS
     folds = min(s.calibration_folds, min(sizes.values()))
     if folds < 2:
         raise ValueError("calibration needs two rows of every class")
-    frame = with_folds(
-        train.where(F.col(label).isNotNull()).select(s.id_column, label, "features"),
-        s.id_column, label, folds, salt="calibration-42", out="_cal",
+    known = train.where(F.col(label).isNotNull()).select(s.id_column, label, "features")
+    frame = _compact(
+        with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal"),
+        sum(sizes.values()),
     ).persist(StorageLevel.MEMORY_AND_DISK)
     per_fold = {
         (r["_cal"], r[label]): r["count"] for r in frame.groupBy("_cal", label).count().collect()
@@ -198,7 +210,7 @@ def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedS
             hit = (F.col(label) == target).cast("double")
             svm = LinearSVC(
                 featuresCol="features", labelCol="_y", weightCol="_w", maxIter=s.max_iter,
-                regParam=1.0 / (s.c * mass), standardization=False,
+                regParam=1.0 / (s.c * mass), standardization=False, tol=s.tol,
                 rawPredictionCol="_raw", predictionCol="_pred",
             ).fit(
                 frame.where(F.col("_cal") != fold).select(

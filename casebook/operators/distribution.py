@@ -168,7 +168,10 @@ def allocation(df: DataFrame, confidence: str, threshold: float) -> DataFrame:
     )
     rows = F.array(
         F.struct(F.lit("auto").alias("bucket"), F.col("auto").alias("n"), F.col("total")),
-        F.struct(F.lit("review"), F.col("total") - F.col("auto"), F.col("total")),
+        F.struct(
+            F.lit("review").alias("bucket"), (F.col("total") - F.col("auto")).alias("n"),
+            F.col("total"),
+        ),
     )
     return totals.select(F.inline(rows)).select(
         "bucket", "n", F.try_divide(100.0 * F.col("n"), F.col("total")).alias("pct")

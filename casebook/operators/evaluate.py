@@ -56,12 +56,16 @@ def label_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     A measure whose denominator is 0 is 0.
     """
-    hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(F.lit(0))
-    roles = F.array(
-        F.struct(F.col("t").alias("label"), hit.alias("tp"), F.col("n").alias("actual"),
-                 F.lit(0).cast("long").alias("predicted")),
-        F.struct(F.col("p"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("n")),
-    )
+    n, none = F.col("n"), F.lit(0).cast("long")
+    hit = F.when(F.col("t") == F.col("p"), n).otherwise(none)
+
+    def role(label: str, tp, actual, predicted):
+        return F.struct(
+            F.col(label).alias("label"), tp.alias("tp"), actual.alias("actual"),
+            predicted.alias("predicted"),
+        )
+
+    roles = F.array(role("t", hit, n, none), role("p", none, none, n))
     sums = (
         counts.select(*by, F.inline(roles))
         .groupBy(*by, "label")

@@ -38,6 +38,16 @@ def _stems(rules: list[tuple[str, str]], kind: str) -> list[Column]:
     ]
 
 
+def _unchanged(counts: DataFrame) -> DataFrame:
+    """The tokens as candidates of themselves, for both kinds."""
+    return counts.select(
+        "token",
+        F.explode(F.array(F.lit("n"), F.lit("v"))).alias("kind"),
+        F.lit(0).alias("rule"),
+        F.col("token").alias("stem"),
+    )
+
+
 def token_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """``(token, n)`` over an array column; counted in the map tasks first."""
     return (
@@ -58,32 +68,25 @@ def build_lexicon(
     counts if it is attested; the shortest wins, then the token itself, then the earlier rule.
     ``attested (kind, word)`` is the dictionary (kind ``n`` or ``v``), by default the tokens
     themselves for both kinds. ``exceptions (kind, token, lemma)`` holds irregular forms; where a
-    token has one, its rules of that kind are not tried.
+    token has one, nothing else of that kind is tried.
     """
-    if attested is None:
-        both = F.explode(F.array(F.lit("n"), F.lit("v"))).alias("kind")
-        attested = counts.select(both, F.col("token").alias("word"))
-    regular = counts.select(
+    stems = counts.select(
         "token", F.inline(F.array(*_stems(NOUN_RULES, "n"), *_stems(VERB_RULES, "v")))
     ).where("stem is not null")
-    unchanged = counts.select(
-        "token",
-        F.explode(F.array(F.lit("n"), F.lit("v"))).alias("kind"),
-        F.lit(0).alias("rule"),
-        F.col("token").alias("stem"),
-    )
-    candidates = regular.unionByName(unchanged)
+    if attested is None:
+        # every token is attested itself, so only shorter stems can win
+        candidates = stems.where(F.char_length("stem") < F.char_length("token"))
+        known = candidates.join(counts.select(F.col("token").alias("stem")), "stem", "left_semi")
+    else:
+        known = stems.unionByName(_unchanged(counts)).join(
+            attested.select("kind", F.col("word").alias("stem")), ["kind", "stem"], "left_semi"
+        )
     if exceptions is not None:
-        irregular = exceptions.select("token", "kind", F.lit(1).alias("rule"), F.col("lemma").alias("stem"))
-        overruled = exceptions.select("token", "kind")
-        candidates = (
-            regular.join(overruled, ["token", "kind"], "left_anti")
-            .unionByName(unchanged)
-            .unionByName(irregular)
+        irregular = exceptions.join(counts, "token", "left_semi")
+        known = known.join(irregular.select("token", "kind"), ["token", "kind"], "left_anti")
+        known = known.unionByName(
+            irregular.select("token", "kind", F.lit(0).alias("rule"), F.col("lemma").alias("stem"))
         )
-    known = candidates.join(
-        attested.select("kind", F.col("word").alias("stem")).distinct(), ["kind", "stem"], "left_semi"
-    )
     best = known.groupBy("token").agg(
         *[
             F.min_by(
@@ -110,19 +113,17 @@ def lemmatise(
     """``(id, column)`` with every token replaced by its lemma, order and repeats kept.
 
     Documents are placed by id before they are taken apart, so putting them together again
-    needs no second shuffle. The most frequent tokens, ``hot_tokens`` at most, meet the lexicon
-    in a broadcast join. If the lexicon is larger, the rest, each of which is rare by
-    construction, meets it in a shuffled join; rows already served get a key of their own there
-    and spread out.
+    needs no second shuffle. Tokens that change are joined by broadcast while they are
+    ``hot_tokens`` at most. Beyond that only the most frequent tokens are; the rest, each of
+    which is rare then, meets the lexicon in a shuffled join, where rows already served get a
+    key of their own and spread out.
     """
     rows = docs.select(id_column, column).repartition(id_column).select(
         id_column, F.posexplode_outer(column).alias("pos", "token")
     )
-    # explicit check of the broadcast bound
-    fits = lexicon.select("token").limit(hot_tokens + 1).count() <= hot_tokens
-    if fits:
-        hot = lexicon.where("lemma <> token").select("token", "lemma")
-        rows = rows.join(F.broadcast(hot), "token", "left")
+    changed = lexicon.where("lemma <> token").select("token", "lemma")
+    if changed.limit(hot_tokens + 1).count() <= hot_tokens:  # the check of the broadcast bound
+        rows = rows.join(F.broadcast(changed), "token", "left")
     else:
         hot = (
             lexicon.orderBy(F.desc("n"), "token")

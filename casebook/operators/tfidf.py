@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_FEATURES = 50_000
@@ -98,37 +99,56 @@ def transform(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Replace ``terms`` by ``features``: the TF-IDF row as a sparse struct.
 
     Weights are ``(1 + ln tf) * idf``, scaled to length 1; unknown terms drop out and a document
-    without known terms keeps an empty row. The vocabulary is bounded by ``max_features``, so
-    every document is weighted where it lies: no explode, no shuffle. ``vocabulary`` should be
-    a staged table, it is read three times.
+    without known terms keeps an empty row. Every document is weighted where it lies: no
+    explode, no shuffle. The idf values and term ids travel to the tasks as two vectors; they
+    are as long as the vocabulary, which ``max_features`` bounds. ``vocabulary`` should be a
+    staged table, it is read more than once.
     """
     counter = _counter(vocabulary)
-    own_place = F.unwrap_udt("counts").getField("indices").getItem(0)
-    terms = counter.transform(vocabulary.select("term_id", "idf", F.array("term").alias("terms")))
-    # place in the counter -> (term_id, idf), as one array
-    ids = terms.agg(F.sort_array(F.collect_list(F.struct(own_place.alias("p"), "term_id", "idf"))))
-    lookup, size = ids.scalar(), terms.agg(F.count(F.lit(1)).cast("int")).scalar()
-
-    counted = counter.transform(docs).withColumn("c", F.unwrap_udt("counts"))
-    weighted = F.zip_with(
-        "c.indices",
-        "c.values",
-        lambda p, tf: F.struct(
-            F.get(lookup, p).getField("term_id").alias("i"),
-            ((1.0 + F.log(tf)) * F.get(lookup, p).getField("idf")).alias("w"),
+    place = F.unwrap_udt("counts").getField("indices").getItem(0)
+    known = (
+        counter.transform(vocabulary.select("term_id", "idf", F.array("term").alias("terms")))
+        .select(place.alias("place"), "term_id", "idf")
+        .toPandas()
+        .sort_values("place")
+    )
+
+    def scaled(values, out: str) -> ElementwiseProduct:
+        return ElementwiseProduct(
+            scalingVec=Vectors.dense(values.to_numpy(dtype=float)), inputCol="counts", outputCol=out
+        )
+
+    counted = counter.transform(docs)
+    if len(known):
+        counted = scaled(known["idf"], "by_idf").transform(counted)
+        counted = scaled(known["term_id"] + 1, "by_id").transform(counted)
+    else:
+        counted = counted.withColumns({"by_idf": F.col("counts"), "by_id": F.col("counts")})
+    values = [F.unwrap_udt(c).getField("values").alias(c) for c in ("counts", "by_idf", "by_id")]
+    cells = F.transform(
+        F.arrays_zip(*values),
+        lambda e: F.struct(
+            (e.getField("by_id") / e.getField("counts") - 1).cast("int").alias("i"),
+            (
+                (1.0 + F.log(e.getField("counts"))) * e.getField("by_idf") / e.getField("counts")
+            ).alias("w"),
         ),
     )
-    rows = counted.withColumn("ws", F.sort_array(weighted)).withColumn(
-        "norm",
-        F.sqrt(F.aggregate("ws", F.lit(0.0), lambda s, e: s + e.getField("w") * e.getField("w"))),
+    rows = counted.withColumn("cells", F.sort_array(cells))
+    # the length is the lambda's variable: a column in its place would be worked out per term
+    unit = F.aggregate(
+        "cells",
+        F.lit(0.0),
+        lambda s, e: s + e.getField("w") * e.getField("w"),
+        lambda s: F.transform("cells.w", lambda w: w / F.sqrt(s)),
     )
     features = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
-        size.alias("size"),
-        F.col("ws.i").alias("indices"),
-        F.transform("ws.w", lambda w: w / F.col("norm")).alias("values"),
+        F.lit(len(known)).alias("size"),
+        F.col("cells.i").alias("indices"),
+        unit.alias("values"),
     )
-    return rows.withColumn("features", features).drop("terms", "counts", "c", "ws", "norm")
+    return rows.withColumn("features", features).drop("terms", "counts", "by_idf", "by_id", "cells")
 
 
 def long_form(features: DataFrame, vocabulary: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -509,7 +509,7 @@ def minority_rows(spark, folder):
 def _augmented(spark, folder):
     texts = standin.narratives(spark, folder).select("doc_id", "narrative")
     rows = _minority(spark, folder).join(texts, "doc_id").select("doc_id", "issue", "narrative")
-    return augment.paraphrase_rows(rows, "narrative")
+    return augment.paraphrase_rows(rows, "narrative", augment.neighbour_swap())
 
 
 @query
@@ -618,7 +618,8 @@ def _prepared(spark, folder) -> Prepared:
     return _PREPARED[key]
 
 
-SETTINGS = classify.Settings()
+# Few iterations: these queries show the operators. Full training uses the default settings.
+SETTINGS = classify.Settings(max_iter=15)
 
 
 def _probability_rows(df, classes: Sequence[str]):
@@ -675,14 +676,39 @@ def out_of_fold(spark, folder):
     return scored.select("doc_id", "fold", "broad_group", "p1")
 
 
+_RUNS: dict[tuple[str, str], classify.Cascade] = {}
+
+
+def _broad_run(spark, folder) -> classify.Cascade:
+    """The staged two-level predictions of one folder, shared like the features."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _RUNS:
+        _RUNS[key] = triage.broad_cascade(_prepared(spark, folder), SETTINGS)
+    return _RUNS[key]
+
+
 @query
 def level2_cascade(spark, folder):
-    run = triage.broad_cascade(_prepared(spark, folder), SETTINGS)
-    return run.predictions.select(
+    return _broad_run(spark, folder).predictions.select(
         "doc_id", "broad_group", "sub_issue_group", "pred1", "pred2", "conf"
     )
 
 
+@query
+def cascade_sweep(spark, folder):
+    return evaluate.threshold_sweep(
+        _broad_run(spark, folder).predictions, true="sub_issue_group", pred="pred2"
+    )
+
+
+@query
+def issue_cascade(spark, folder):
+    run = triage.issue_cascade(_prepared(spark, folder), SETTINGS)
+    return run.predictions.select(
+        "doc_id", "issue_group", "sub_issue_group", "pred1", "pred2", "conf"
+    )
+
+
 @query
 def alt_grouping(spark, folder):
     scored = triage.alternative_level1(_prepared(spark, folder), SETTINGS)
@@ -692,9 +718,12 @@ def alt_grouping(spark, folder):
 @query
 def run_summary(spark, folder):
     p = _prepared(spark, folder)
-    run = triage.issue_cascade(p, SETTINGS)
-    alternative = triage.alternative_level1(p, SETTINGS)
-    return triage.run_summary(run, alternative, "issue_group", "sub_issue_group")
+    _, original, _, _ = classify.fit_level1(p.train, p.test, "issue_group", SETTINGS)
+    return triage.run_summary(
+        _broad_run(spark, folder), "sub_issue_group",
+        original.withColumnRenamed("issue_group", "y_true"),
+        triage.alternative_level1(p, SETTINGS),
+    )
 
 
 # --- votes and evaluation -------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from casebook.functions.text import clean_tokens
 from casebook.operators import tfidf
 from casebook.operators.augment import (
-    Paraphrase, append_augmented, minority_rows, paraphrase_rows, swap_neighbours,
+    Paraphrase, append_augmented, minority_rows, neighbour_swap, paraphrase_rows,
 )
 from casebook.operators.labels import regroup
 from casebook.operators.lexicon import build_lexicon, clean_corpus, lemmatise, token_counts
@@ -73,7 +73,7 @@ def prepare(
     docs: DataFrame,
     max_features: int = tfidf.MAX_FEATURES,
     augmented_issues: Sequence[str] = AUGMENTED_ISSUES,
-    paraphrase: Paraphrase | None = swap_neighbours,
+    paraphrase: Paraphrase | None = neighbour_swap(),
 ) -> Prepared:
     """Clean, filter, group, split, fit TF-IDF on the original training rows, augment, transform.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -86,27 +87,27 @@ def report(run: Cascade, level1: str, level2: str, classes2: Sequence[str]) -> R
     )
 
 
-def run_summary(run: Cascade, alternative: DataFrame | None, level1: str, level2: str) -> DataFrame:
-    """``(metric, value)``: macro F1 of each view of the run, and the review share."""
+def run_summary(
+    run: Cascade, level2: str, original: DataFrame, alternative: DataFrame
+) -> DataFrame:
+    """``(metric, value)``: macro F1 of both level-1 groupings and of level 2, review share.
+
+    ``original`` and ``alternative`` hold ``y_true`` and ``pred1`` of the two level-1 runs.
+    """
 
-    def line(name: str, df: DataFrame, column: str) -> DataFrame:
-        return df.select(F.lit(name).alias("metric"), F.col(column).alias("value"))
+    def level1(df: DataFrame) -> DataFrame:
+        return evaluate.macro_f1(evaluate.outcomes(df, "y_true", "pred1"))
 
     rejected = evaluate.rejection(run.predictions, true=level2, pred="pred2")
     parts = [
-        line(
-            "level1_macro_f1",
-            evaluate.macro_f1(evaluate.outcomes(run.predictions, level1, "pred1")),
-            "macro_f1",
-        ),
-        line("level2_macro_f1_all", rejected, "f1_all"),
-        line("level2_macro_f1_auto", rejected, "f1_auto"),
-        line("review_share", rejected, "review_share"),
+        ("level1_macro_f1", level1(original), "macro_f1"),
+        ("level1_macro_f1_alternative", level1(alternative), "macro_f1"),
+        ("level2_macro_f1_all", rejected, "f1_all"),
+        ("level2_macro_f1_auto", rejected, "f1_auto"),
+        ("review_share", rejected, "review_share"),
+    ]
+    lines = [
+        df.select(F.lit(name).alias("metric"), F.col(column).alias("value"))
+        for name, df, column in parts
     ]
-    if alternative is not None:
-        counts = evaluate.outcomes(alternative, "y_true", "pred1")
-        parts.insert(1, line("level1_macro_f1_alternative", evaluate.macro_f1(counts), "macro_f1"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, lines)
