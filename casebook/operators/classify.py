@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casebook.operators.evaluate import macro_f1, outcomes
 from casebook.operators.sampling import with_folds
@@ -52,8 +52,9 @@ class Settings:
 
 def _together(jobs: Sequence[Callable], threads: int) -> list:
     """Run independent fits at the same time; Spark interleaves their tasks."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPool(max(1, min(threads, len(jobs)))) as pool:
-        return pool.map(lambda job: inheritable_thread_target(job)(), jobs)
+        return pool.map(lambda job: job(), [inherit(job) for job in jobs])
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
