@@ -1,56 +1,76 @@
-"""Summary statistics, exact quantiles, histograms, densities and shares."""
+"""Summary statistics, exact quantiles, histograms, densities and shares.
+
+The value-based ones read their input once: they reduce it to :func:`value_counts`, stage that
+small table and work on it. Its three scalars (smallest, largest, total) go through the driver.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casebook.sources.staging import stage
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    """``(v double, n)``: the distinct non-NULL values and how often each occurs."""
-    v = F.col(column).cast("double")
-    return df.select(v.alias("v")).where("v is not null").groupBy("v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
 
+@dataclass(frozen=True)
+class Counts:
+    """Staged ``table (v, n)`` with its range and the number of values behind it."""
+
+    table: DataFrame
+    lo: float | None
+    hi: float | None
+    total: int
+
+    @property
+    def width(self) -> float:
+        return self.hi - self.lo if self.total else 0.0
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = 4096
-) -> DataFrame:
-    """``(p, value)`` with linear interpolation, exact and without a global sort.
 
-    Equal values are merged first, which takes the weight out of any hot value. The distinct
-    values fall into ``buckets`` ranges; counting the ranges tells which of them hold the wanted
-    ranks, and only the values of those ranges are put in order.
+def value_counts(df: DataFrame, column: str) -> Counts:
+    """The distinct non-NULL values and how often each occurs, counted in the map tasks first.
+
+    A hot value is one row from here on.
     """
-    counts = value_counts(df, column)
-    span = counts.agg(
-        F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    v = F.col(column).cast("double")
+    table = stage(
+        df.select(v.alias("v")).where("v is not null").groupBy("v").agg(
+            F.count(F.lit(1)).alias("n")
+        ),
+        "value_counts",
     )
-    s = span.scalar()
-    width = s.getField("hi") - s.getField("lo")
-    place = F.when(
-        width > 0, F.floor((F.col("v") - s.getField("lo")) / width * (buckets - 1))
-    ).otherwise(F.lit(0).cast("long"))
-    placed = counts.select("v", "n", place.alias("bucket"))
+    span = table.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+    return Counts(table, span[0], span[1], span[2] or 0)
+
 
+def _place(c: Counts, bins: int, closed: bool) -> Column:
+    """Equal-width bin of ``v``; ``closed`` puts the largest value into the last bin."""
+    if not c.width > 0:
+        return F.lit(0).cast("long")
+    raw = F.floor((F.col("v") - c.lo) * bins / c.width)
+    return F.least(raw, F.lit(bins - 1)).cast("long") if closed else raw
+
+
+def quantiles_of(c: Counts, probabilities: Sequence[float], buckets: int = 4096) -> DataFrame:
+    """``(p, value)`` of counted values, see :func:`exact_quantiles`."""
+    placed = c.table.withColumn("bucket", _place(c, buckets, closed=True))
     before = F.coalesce(
         F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0),
     )
     ranges = (
-        placed.groupBy("bucket")
+        placed.groupBy("bucket")  # at most ``buckets`` rows
         .agg(F.sum("n").alias("n"))
-        .select("bucket", "n", before.alias("before"), s.getField("total").alias("total"))
+        .select("bucket", "n", before.alias("before"))
     )
     probes = F.array(*[F.lit(float(p)) for p in probabilities])
-    position = F.col("p") * (F.col("total") - 1)
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
     wanted = (
         ranges.withColumn("p", F.explode(probes))
-        .withColumn("position", position)
+        .withColumn("position", F.col("p") * F.lit(c.total - 1))
         .withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+        .where(inside)
         .select("bucket", "p", "position", "rank", "before")
         .distinct()
     )
@@ -66,56 +86,61 @@ def exact_quantiles(
     )
 
 
-def quantile(df: DataFrame, column: str, p: float) -> Column:
-    """One exact quantile as a scalar subquery."""
-    return exact_quantiles(df, column, [p]).select("value").scalar()
+def exact_quantiles(
+    df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = 4096
+) -> DataFrame:
+    """``(p, value)`` with linear interpolation, exact and without a global sort.
+
+    The distinct values fall into ``buckets`` ranges; counting the ranges tells which of them hold
+    the wanted ranks, and only the values of those ranges are put in order. No rows, no quantiles.
+    """
+    return quantiles_of(value_counts(df, column), probabilities, buckets)
+
+
+def quantile(df: DataFrame, column: str, p: float) -> float | None:
+    """One exact quantile; None without values."""
+    row = exact_quantiles(df, column, [p]).first()
+    return None if row is None else row.value
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample std, min, quartiles, max."""
-    quartiles = exact_quantiles(df, column, [0.25, 0.5, 0.75]).agg(
-        F.struct(
-            *[
-                F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
-                for p, name in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]
-            ]
-        )
-    )
-    q = quartiles.scalar()
-    v = F.col(column).cast("double")
-    basic = df.agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
+    c = value_counts(df, column)
+    v, n = F.col("v"), F.col("n")
+    mean = c.table.agg(F.sum(v * n) / F.sum(n)).first()[0]
+    basic = c.table.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
+        F.lit(mean).cast("double").alias("mean"),
+        F.sqrt(F.try_divide(F.sum(n * F.pow(v - F.lit(mean), 2)), F.sum(n) - 1)).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    return basic.select(
-        "n", "mean", "std", "min", *[q.getField(c).alias(c) for c in ("q25", "q50", "q75")], "max"
-    )
+    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    at = {r.p: r.value for r in quantiles_of(c, list(names)).collect()}  # three numbers
+    quartiles = [F.lit(at.get(p)).cast("double").alias(name) for p, name in names.items()]
+    return basic.select("n", "mean", "std", "min", *quartiles, "max")
 
 
 def quantile_gate(df: DataFrame, column: str, p: float) -> DataFrame:
     """Rows whose value is at least the column's own ``p`` quantile."""
-    return df.where(F.col(column) >= quantile(df, column, p))
+    return df.where(F.col(column) >= F.lit(quantile(df, column, p)))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """``(bin, lo, hi, n)``: equal widths over ``[min, max]``, last bin closed, empty bins kept."""
-    counts = value_counts(df, column)
-    s = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    lo, width = s.getField("lo"), s.getField("hi") - s.getField("lo")
-    place = F.when(
-        width > 0, F.least(F.floor((F.col("v") - lo) * bins / width), F.lit(bins - 1))
-    ).otherwise(F.lit(0))
-    filled = counts.groupBy(place.cast("long").alias("bin")).agg(F.sum("n").alias("n"))
+    c = value_counts(df, column)
+    filled = c.table.groupBy(_place(c, bins, closed=True).alias("bin")).agg(F.sum("n").alias("n"))
     frame = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+
+    def edge(i: Column) -> Column:
+        return F.lit(c.lo).cast("double") + i * F.lit(c.width) / bins
+
     return (
         frame.join(filled, "bin", "left")
         .select(
             F.col("bin"),
-            (lo + F.col("bin") * width / bins).alias("lo"),
-            (lo + (F.col("bin") + 1) * width / bins).alias("hi"),
+            edge(F.col("bin")).alias("lo"),
+            edge(F.col("bin") + 1).alias("hi"),
             F.coalesce("n", F.lit(0)).alias("n"),
         )
         .orderBy("bin")
@@ -126,36 +151,27 @@ def kernel_density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """``(point, x, density)``: Gaussian kernels, Scott bandwidth, grid over ``[min, max]``.
 
     A column without spread has no density and gives no rows.
-    Equal values are merged first; each distinct value then adds to every grid point inside
-    its own task, so the shuffle carries at most ``points`` partial sums per task.
+    Each distinct value adds to every grid point inside its own task, so the shuffle carries at
+    most ``points`` partial sums per task.
     """
-    counts = value_counts(df, column)
-    mean_square = F.sum(F.col("n") * F.col("v") * F.col("v"))
-    total, mass = F.sum("n"), F.sum(F.col("n") * F.col("v"))
-    moments = counts.agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), total.alias("total"),
-        F.try_divide(mean_square - mass * mass / total, total - 1).alias("variance"),
-    ).select(
-        F.struct(
-            "lo", "hi", "total",
-            (F.sqrt(F.nullif("variance", F.lit(0.0))) * F.pow(F.col("total"), F.lit(-0.2))).alias(
-                "h"
-            ),
-        )
-    )
-    m = moments.scalar()
-    lo, hi, h = m.getField("lo"), m.getField("hi"), m.getField("h")
-    x = lo + F.col("point") * (hi - lo) / (points - 1)
-    kernel = F.exp(-0.5 * F.pow((x - F.col("v")) / h, 2))
+    c = value_counts(df, column)
+    v, n = F.col("v"), F.col("n")
+    spread = 0.0
+    if c.width > 0:
+        mean = c.table.agg(F.sum(v * n) / F.sum(n)).first()[0]
+        squares = c.table.agg(F.sum(n * F.pow(v - F.lit(mean), 2))).first()[0]
+        spread = (squares / (c.total - 1)) ** 0.5
+    h = spread * max(c.total, 1) ** -0.2 or 1.0
+    x = F.lit(c.lo).cast("double") + F.col("point") * F.lit(c.width) / (points - 1)
     return (
-        counts.where(h.isNotNull())
+        c.table.where(F.lit(spread > 0))
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy("point")
-        .agg(F.sum(F.col("n") * kernel).alias("mass"))
+        .agg(F.sum(n * F.exp(-0.5 * F.pow((x - v) / h, 2))).alias("mass"))
         .select(
             F.col("point").cast("long").alias("point"),
             x.alias("x"),
-            (F.col("mass") / (m.getField("total") * h * F.sqrt(2 * F.pi()))).alias("density"),
+            (F.col("mass") / (c.total * h * F.sqrt(2 * F.pi()))).alias("density"),
         )
         .orderBy("point")
     )

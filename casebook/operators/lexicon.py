@@ -168,7 +168,7 @@ def clean_corpus(
         "tokens",
     )
     if lexicon is None:
-        lexicon = stage(build_lexicon(token_counts(tokens)), "lexicon")
+        lexicon = stage(build_lexicon(stage(token_counts(tokens), "token_counts")), "lexicon")
     lemmas = lemmatise(tokens, lexicon, id_column)
     if shortest > 1:
         lemmas = lemmas.withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casebook.functions.hashing import hash_bucket
+from casebook.sources.staging import bounded, stage
 
 # A class is cut into this many hash ranges; only one range at a time is put in order.
 RANGE_BITS = 16
@@ -19,14 +20,13 @@ def _keyed(df: DataFrame, id_column: str, stratum: str, salt: str) -> DataFrame:
 
 
 def _range_offsets(keyed: DataFrame) -> DataFrame:
-    """``(stratum, range, n, before)``: at most ``2**RANGE_BITS`` rows per class."""
+    """``(stratum, range, n, before)``, staged: at most ``2**RANGE_BITS`` rows per class."""
     so_far = Window.partitionBy("stratum").orderBy("range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return (
-        keyed.groupBy("stratum", "range")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    counts = keyed.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("n"))
+    return stage(
+        counts.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))), "offsets"
     )
 
 
@@ -36,12 +36,15 @@ def _edges(keyed: DataFrame, offsets: DataFrame, ranks: DataFrame) -> DataFrame:
     Ranks are 1-based in the order ``(hash, id)`` of a class. Only the hash ranges that hold a
     wanted rank are put in order, so no task ever holds a class.
     """
-    holding = offsets.join(F.broadcast(ranks), "stratum").where(
-        (F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("n"))
+    holding = stage(
+        offsets.join(ranks, "stratum")
+        .where((F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("n")))
+        .drop("n"),
+        "ranges",
     )
     inside = F.row_number().over(Window.partitionBy("stratum", "range", "at").orderBy("h", "id"))
     return (
-        keyed.join(F.broadcast(holding.drop("n")), ["stratum", "range"])
+        keyed.join(bounded(holding), ["stratum", "range"])
         .withColumn("rank", F.col("before") + inside)
         .where("rank = at")
         .select("stratum", "at", F.struct("h", "id").alias("edge"))
@@ -72,16 +75,17 @@ def _with_interval(
 ) -> DataFrame:
     """Add the number of edges of the row's class that lie below the row.
 
-    The edges of a class are one array; there is one row per class, which is broadcast.
+    The edges of a class are one array, so there is one row per class.
     """
-    by_class = edges.groupBy(F.col("stratum").alias(stratum)).agg(
-        F.collect_list("edge").alias("_edges")
+    by_class = stage(
+        edges.groupBy(F.col("stratum").alias(stratum)).agg(F.collect_list("edge").alias("_edges")),
+        "edges",
     )
     own = F.struct(hash_bucket(salt, F.col(id_column)).alias("h"), F.col(id_column).alias("id"))
     below = F.size(F.filter("_edges", lambda e: e < own))
     return (
         df.where(F.col(stratum).isNotNull())
-        .join(F.broadcast(by_class), stratum, "left")
+        .join(bounded(by_class), stratum, "left")
         .withColumn(out, F.when(F.col("_edges").isNull(), F.lit(0)).otherwise(below))
         .select(*df.columns, out)
     )
@@ -92,8 +96,9 @@ def split_labels(
 ) -> DataFrame:
     """Add ``is_test``: exactly the quota of each class, chosen by hash order.
 
-    Only the hash value at which a class reaches its quota is looked up; all rows then compare
-    themselves with it, so the table itself is not shuffled. Rows without a class are dropped.
+    Only the hash value at which a class reaches its quota is looked up, in two passes over ids
+    and labels; all rows then compare themselves with it, so the table itself is not shuffled.
+    Rows without a class are dropped.
     """
     keyed = _keyed(df, id_column, stratum, salt)
     offsets = _range_offsets(keyed)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from casebook.sources.staging import stage
+
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the exact number of distinct non-NULL values of each column."""
@@ -83,8 +85,11 @@ def child_frequencies(df: DataFrame, parent: str, child: str) -> DataFrame:
 
 def top_parent_children(df: DataFrame, parent: str, child: str) -> DataFrame:
     """Child frequencies within the most frequent parent (ties by name)."""
-    pairs = df.where(F.col(parent).isNotNull()).groupBy(parent, child).agg(
-        F.count(F.lit(1)).alias("n")
+    pairs = stage(
+        df.where(F.col(parent).isNotNull()).groupBy(parent, child).agg(
+            F.count(F.lit(1)).alias("n")
+        ),
+        "pair_counts",
     )
     top = (
         pairs.groupBy(parent)

@@ -6,6 +6,8 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Elementwis
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casebook.sources.staging import bounded
+
 MAX_FEATURES = 50_000
 MIN_DF = 3
 MAX_DF = 0.95
@@ -152,10 +154,10 @@ def transform(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def long_form(features: DataFrame, vocabulary: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``(id, term, weight)``; the vocabulary, ``max_features`` rows at most, is broadcast."""
+    """``(id, term, weight)``; the vocabulary is broadcast while its size allows."""
     cells = features.select(
         id_column, F.inline(F.arrays_zip("features.indices", "features.values"))
     ).toDF(id_column, "term_id", "weight")
-    return cells.join(F.broadcast(vocabulary.select("term_id", "term")), "term_id").select(
+    return cells.join(bounded(vocabulary.select("term_id", "term")), "term_id").select(
         id_column, "term", "weight"
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casebook.operators.distribution import exact_quantiles
+from casebook.operators.distribution import quantile
+from casebook.sources.staging import stage
 
 
 def unique_tokens(tokens: Column) -> Column:
@@ -22,11 +23,12 @@ def vocabulary_stats(
     df: DataFrame, tokens: str, smallest: int = 5, largest: int = 500
 ) -> DataFrame:
     """One row on what :func:`keep_by_vocabulary` keeps. Halves round to even."""
-    sizes = df.select(
-        unique_tokens(F.col(tokens)).alias("uniq"), F.size(tokens).alias("total")
+    sizes = stage(
+        df.select(unique_tokens(F.col(tokens)).alias("uniq"), F.size(tokens).alias("total")),
+        "token_sizes",
     )
     kept = F.col("uniq").between(smallest, largest)
-    middle = exact_quantiles(sizes.where(kept), "uniq", [0.5]).select("value").scalar()
+    middle = F.lit(quantile(sizes.where(kept), "uniq", 0.5)).cast("double")
     one_row = sizes.agg(
         F.count(F.lit(1)).alias("original"),
         F.count_if(F.col("uniq") < smallest).alias("removed_low"),

@@ -458,7 +458,7 @@ def vocab_filter(spark, folder):
 @query
 def vocab_stats(spark, folder):
     rows, _ = _lemmas(spark, folder)
-    return vocabfilter.vocabulary_stats(stage(rows, "lemmas"), "tokens")
+    return vocabfilter.vocabulary_stats(rows, "tokens")
 
 
 @query

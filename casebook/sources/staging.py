@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +48,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def bounded(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A broadcast hint for ``df`` if it has ``limit`` rows at most, else ``df`` as it is.
+
+    Without the hint Spark joins by shuffle and splits hot keys at run time. ``df`` should be
+    staged or otherwise cheap: its rows are counted, up to the limit.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
