@@ -81,10 +81,10 @@ def prepare(
     """
     rows, lexicon = prepared_tokens(docs)
     rows = stage(rows, "split")
-    train, test = (rows.where(F.col("is_test") == flag).drop("is_test") for flag in (False, True))
+    train = rows.where("not is_test")
     vocabulary = stage(tfidf.fit_vocabulary(tfidf.with_terms(train), max_features), "vocabulary")
-    copies = train.limit(0).withColumns(
-        {"source_doc_id": F.col("doc_id"), "is_augmented": F.lit(True)}
+    everything = rows.withColumns(
+        {"source_doc_id": F.col("doc_id"), "is_augmented": F.lit(False)}
     )
     if paraphrase is not None:
         chosen = minority_rows(train, "issue", augmented_issues).drop("tokens")
@@ -95,11 +95,11 @@ def prepare(
             "paraphrases",
         )
         tokens = lemmatise(made, stage(_lexicon_for(made, lexicon), "lexicon_augmented"))
-        copies = made.drop("tokens").join(tokens, "doc_id")
-    everything = append_augmented(train, copies)
+        everything = append_augmented(rows, made.drop("tokens").join(tokens, "doc_id"))
+    features = features_of(everything, vocabulary, "features")
     return Prepared(
-        features_of(everything, vocabulary, "train"),
-        features_of(append_augmented(test, copies.limit(0)), vocabulary, "test"),
+        features.where("not is_test").drop("is_test"),
+        features.where("is_test").drop("is_test"),
         vocabulary,
         lexicon,
     )
