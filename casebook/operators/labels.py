@@ -26,8 +26,11 @@ def project(df: DataFrame, columns: Sequence[str], names: Mapping[str, str] = {}
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in columns])
 
 
-def members(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows whose column is in the list."""
+def members(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
+    """Rows whose column is in the list, or in the first column of a table."""
+    if isinstance(values, DataFrame):
+        wanted = values.select(F.col(values.columns[0]).alias(column))
+        return df.join(wanted, column, "left_semi").select(*df.columns)
     return df.where(F.col(column).isin(list(values)))
 
 

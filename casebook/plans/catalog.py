@@ -16,7 +16,7 @@ from casebook.operators.taxonomy import (
     AUGMENTED_ISSUES, OTHER,
 )
 from casebook.plans import triage
-from casebook.plans.explore import export_gate
+from casebook.plans.explore import CATEGORICAL, export_gate
 from casebook.plans.prepare import Prepared, group_labels, prepare, prepared_tokens
 from casebook.sources import standin
 from casebook.sources.staging import fresh_path, stage, spread
@@ -28,7 +28,6 @@ from casebook.sources.tables import (
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-CATEGORICAL = ["issue", "sub_issue", "company", "state", "submitted_via", "response", "timely"]
 COMPANIES = ["AUTOMOBILE", "BUILDING", "MACHINERY"]
 PERIODS = [("first", "1996-07-01", "1997-07-01"), ("second", "1999-03-01", "2000-06-01")]
 EXTRA_MAP = {"AFRICA": "South", "AMERICA": "West", "ASIA": "East", "EUROPE": "West"}
@@ -128,6 +127,17 @@ def company_filter(spark, folder):
     )
 
 
+@query
+def table_filter(spark, folder):
+    """Membership in a table: cases whose sub-issue is one of the Asian nations."""
+    rows = standin.complaints(spark, folder).select("complaint_id", "sub_issue")
+    nation, region = read_table(spark, folder, "nation"), read_table(spark, folder, "region")
+    wanted = nation.join(
+        region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("n_name")
+    return labels.members(rows, "sub_issue", wanted)
+
+
 @query
 def late_filter(spark, folder):
     rows = standin.complaints(spark, folder)

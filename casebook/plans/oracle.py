@@ -369,6 +369,8 @@ FROM complaints""",
   timely AS timely_response FROM complaints""",
     "company_filter": f"""WITH {COMPLAINTS} SELECT complaint_id, company FROM complaints
 WHERE company IN ({_in(COMPANIES)})""",
+    "table_filter": f"""WITH {COMPLAINTS} SELECT complaint_id, sub_issue FROM complaints
+WHERE sub_issue IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')""",
     "late_filter": f"""WITH {COMPLAINTS} SELECT complaint_id FROM complaints
 WHERE timely = 'No' AND date_sent > date_received""",
     "label_map": f"""WITH {COMPLAINTS}, m(label, label_group) AS (VALUES {_values(EXTRA_MAP)})

@@ -31,13 +31,14 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataF
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV scan with header, quoted multi-line text and missing-value tokens.
 
-    Quoted line breaks make a file unsplittable, so parallelism comes from the number of
+    Types are never guessed: without a schema all columns are strings named by the header. Quoted line breaks make a file unsplittable, so parallelism comes from the number of
     files; :func:`write_csv` bounds the rows per file for that reason.
     """
-    raw = spark.read.schema(schema).options(**_CSV_DIALECT).option("multiLine", True).csv(path)
+    reader = spark.read.options(**_CSV_DIALECT).option("multiLine", True)
+    raw = (reader.schema(schema) if schema is not None else reader).csv(path)
     return null_tokens_to_null(raw)
 
 

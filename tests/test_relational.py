@@ -7,6 +7,8 @@ from pyspark.sql import functions as F, types as T
 
 from casebook.functions import text
 from casebook.operators import association, distribution, evaluate, labels, profile, series
+from casebook.plans import explore
+from casebook.sources.staging import bounded
 from casebook.sources.tables import read_csv, write_csv
 
 
@@ -205,3 +207,45 @@ def test_text_expressions(spark):
     assert of("a" * 5000, text.within_length) and not of("a" * 5001, text.within_length)
     assert of("é", text.has_non_ascii) and not of("e", text.has_non_ascii)
     assert of("x h1ttp://y z٣", text.normalised) == "x http y z"
+
+
+def test_raw_file_to_description(spark, tmp_path):
+    head = ",".join(explore.RAW_COLUMNS)
+    lines = [
+        f"2024-0{m}-05,2024-0{m}-06,Loan,{i},{i}/{s},{t},{c},,,{st},Web,Closed,{ok}"
+        for m, i, s, t, c, st, ok in [
+            (1, "A", "x", "some words here", "C1", "NY", "Yes"),
+            (1, "A", "x", "some words here", "C1", "NY", "Yes"),
+            (2, "A", "y", "", "C1", "CA", "No"),
+            (4, "B", "z", "more words", "C2", "CA", "Yes"),
+        ]
+    ]
+    path = tmp_path / "cases.csv"
+    path.write_text("\n".join([head, *lines]) + "\n")
+    cases = explore.typed_cases(read_csv(spark, str(path)))
+    d = explore.describe(cases, ["C1"])
+    assert d.duplicates.first()[0] == 1
+    assert [r.n for r in d.monthly.orderBy("month_end").collect()] == [1, 1, 0]
+    assert rows(d.drilldown) == [("A/x", 1), ("A/y", 1)]
+    assert [r.rate_pct for r in d.untimely_rate.orderBy("month_end").collect()] == [0.0, 100.0]
+    stats = d.word_stats.first()
+    assert (stats.n, stats["min"], stats.q50, stats["max"]) == (2, 2.0, 2.5, 3.0)
+    assert d.association.count() == 49 and d.word_histogram.count() == 50
+    over = {r.column: r for r in d.overview.collect()}
+    assert over["tags"].null_pct == 100.0 and over["product"].zero_variance
+    kept = explore.export_gate(cases, deduplicate=True)
+    assert rows(kept) == [("some words here", "A", "A/x")]
+
+
+def test_bounded(spark):
+    df = spark.range(3)
+    hinted = spark.range(9).join(bounded(df, 3), "id")
+    plain = spark.range(9).join(bounded(df, 2), "id")
+    plans = [j._jdf.queryExecution().logical().toString() for j in (hinted, plain)]
+    assert "broadcast" in plans[0] and "broadcast" not in plans[1]
+
+
+def test_membership_in_a_table(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    assert rows(labels.members(df, "k", spark.createDataFrame([("a",), ("a",)], "z string"))) == [("a", 1)]
+    assert rows(labels.members(df, "k", ["b"])) == [("b", 2)]
