@@ -1,7 +1,7 @@
 """Confusion, macro F1, reports, thresholds and review triage.
 
-Every measure starts from :func:`outcomes`, one small count table that a single pass over
-the predictions gives (counted in the map tasks first).
+Every measure starts from :func:`outcomes`, one small staged count table that a single pass
+over the predictions gives (counted in the map tasks first).
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from casebook.sources.staging import stage
+
 # Thresholds of the sweep, the chosen one, and the confidence buckets.
 THRESHOLDS = [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85]
 REVIEW_THRESHOLD = 0.45
@@ -23,9 +25,10 @@ def outcomes(
     df: DataFrame, true: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
     """``(*by, t, p, n)``: how often true label ``t`` was predicted as ``p``."""
-    return df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(
+    counts = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    return stage(counts, "outcomes")
 
 
 def confusion(counts: DataFrame, classes: Sequence[str]) -> DataFrame:
