@@ -4,8 +4,8 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
-
-SQL = entry.oracle_sql()
+from casebook.plans.catalog import QUERIES
+from casebook.plans.oracle import SQL
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def con(folder):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, folder, con, name):
-    assert difference(spark, con, folder, entry.queries()[name], SQL[name]) is None
+    assert difference(spark, con, folder, QUERIES[name], SQL[name]) is None
 
 
 def test_entry(spark):
@@ -27,4 +27,4 @@ def test_every_query_but_the_models_has_sql():
         "feature_vectors", "level1_lr", "level1_svc_calibrated", "grid_search", "out_of_fold",
         "level2_cascade", "cascade_sweep", "issue_cascade", "alt_grouping", "run_summary",
     }
-    assert set(entry.queries()) - set(SQL) == models
+    assert set(QUERIES) - set(SQL) == models
