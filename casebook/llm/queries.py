@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casebook.llm import chat, exact_dedup, packing, sharding, token_counts
+from casebook.llm import (
+    chat, exact_dedup, language, packing, phrase_index, sharding, token_counts,
+)
 from casebook.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +104,54 @@ def op3_token_counts(spark, folder):
     return token_counts.with_suffix_sums(token_counts.length_histogram(_documents(spark, folder)))
 
 
+@query
+def op4_decontamination(spark, folder):
+    found = phrase_index.matches(_documents(spark, folder), read_table(spark, folder, "benchmark"))
+    return phrase_index.contamination(found)
+
+
+SQL["op4_decontamination"] = r"""
+WITH folded AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM documents
+),
+item_words AS (
+    SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM benchmark
+),
+item_windows AS (
+    SELECT DISTINCT item_id, least(len(words), 13) AS width,
+        array_to_string(words[i:i + least(len(words), 13) - 1], ' ') AS phrase
+    FROM item_words, LATERAL unnest(range(1, greatest(len(words) - 12, 1) + 1)) t(i)
+    WHERE len(words) > 0
+),
+widths AS (SELECT DISTINCT width FROM item_windows),
+doc_windows AS (
+    SELECT doc_id, i, width, array_to_string(words[i:i + width - 1], ' ') AS phrase
+    FROM folded, widths, LATERAL unnest(range(1, len(words) - width + 2)) t(i)
+),
+found AS (
+    SELECT doc_id, i, item_id, width FROM doc_windows JOIN item_windows USING (width, phrase)
+),
+hits AS (
+    SELECT doc_id, count(DISTINCT i + j) AS n_hit
+    FROM found, LATERAL unnest(range(width)) t(j) GROUP BY doc_id
+),
+items AS (
+    SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(words), 0) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+    coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+FROM folded LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @query
 def op5_chat_formatting(spark, folder):
     rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -138,6 +188,11 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op7_language_id(spark, folder):
+    return language.languages(_documents(spark, folder))
+
+
 @query
 def op8_exact_dedup(spark, folder):
     return exact_dedup.equal_texts(_documents(spark, folder))
