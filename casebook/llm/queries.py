@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casebook.llm import (
-    chat, exact_dedup, language, packing, phrase_index, sharding, token_counts,
+    chat, exact_dedup, language, ngram_join, packing, phrase_index, sharding, token_counts,
 )
 from casebook.sources.tables import read_table
 
@@ -211,3 +211,45 @@ ranked AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
 """
+
+
+@query
+def op10_ngram_join(spark, folder):
+    return ngram_join.similar(_documents(spark, folder)).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
+SQL["op10_ngram_join"] = r"""
+WITH RECURSIVE folded AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+shingles AS (
+    SELECT DISTINCT doc_id,
+        hash(array_to_string(words[i:i + least(len(words), 5) - 1], ' ')) AS shingle
+    FROM folded, LATERAL unnest(range(1, greatest(len(words) - 4, 1) + 1)) t(i)
+    WHERE len(words) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+    GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.other
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+LEFT JOIN sizes USING (doc_id)
+"""
