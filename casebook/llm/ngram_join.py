@@ -79,9 +79,9 @@ def sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def class_of(grams: np.ndarray) -> int:
     """A 63-bit key of a set, the same in any order of its members."""
-    total = wordhash.mixed(grams ^ _SALT[0]).sum(dtype=np.uint64)
-    key = wordhash.mixed(np.array([total + np.uint64(len(grams)) * _SALT[1]], np.uint64))[0]
-    return int(key >> np.uint64(1))
+    total = wordhash.mixed(grams ^ _SALT[0]).sum(dtype=np.uint64, keepdims=True)
+    key = wordhash.mixed(total + np.array([len(grams)], np.uint64) * _SALT[1])
+    return int(key[0] >> np.uint64(1))
 
 
 def _slots(grams: np.ndarray, order: int) -> np.ndarray:

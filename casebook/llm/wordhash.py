@@ -77,12 +77,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
     return hashes, np.diff(np.searchsorted(starts, rows))
 
 
-def blocks(column: pa.Array, word: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(
+    column: pa.Array, word: np.ndarray, size: int = BLOCK_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, hashes, words per row)`` for consecutive rows of bounded size."""
     data, offsets = texts(column)
     first = 0
     while first < len(column):
-        end = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         end = min(max(end, first + 1), len(column))
         yield first, end, *word_hashes(data, offsets[first:end + 1], word)
         first = end
