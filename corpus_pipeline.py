@@ -1,29 +1,101 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Every filtering stage returns the columns of ``documents`` for the rows that it keeps:
+
+1. language ID drops texts without a letter and texts that no language is likely for;
+2. exact dedup keeps one row of each group of equal texts;
+3. n-gram join keeps the smallest id of each component of similar texts;
+4. decontamination drops documents that hold benchmark passages by the twentieth-of-words rule;
+5. packing returns the pieces of the token sequences.
+
+Decisions are joined back by document id, and by the digest of the normalised text where rows may
+share an id. Of rows that repeat an id and a text, one stays. Rows without an id are judged by their
+language and text alone. Extra columns are carried along, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casebook.llm import exact_dedup, packing
+from casebook.llm import exact_dedup, language, ngram_join, packing, phrase_index
 from casebook.sources.staging import bounded, stage
 from casebook.sources.tables import read_table
 
+LEAST_SCORE = 0.3
+BROADCAST_ROWS = 1_000_000
+
+
+def _rows(docs: DataFrame, **keys) -> DataFrame:
+    """Whole rows as one column beside the given keys, so that no names clash."""
+    return docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
+        *[column.alias(name) for name, column in keys.items()],
+    )
+
+
+def _without(rows: DataFrame, out: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` but for the keys of ``out``: broadcast while these are few, else shuffled."""
+    out = stage(out.distinct(), "out")
+    return rows.join(bounded(out, BROADCAST_ROWS), keys, "left_anti")
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``ids``: broadcast while these are few, else a shuffled join."""
-    return docs.join(bounded(ids, 1_000_000), "doc_id", "left_anti")
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = language.learn(docs)
+    found = language.predict(net, F.col("text"))
+    judged = _rows(docs, found=found)
+    kept = judged.where(
+        (F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE))
+    return kept.select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stage(exact_dedup.equal_texts(docs.select("doc_id", "text")), "exact")
-    return _without(docs, found.where(~F.col("kept")).select("doc_id"))
+    groups = stage(exact_dedup.equal_texts(docs.select("doc_id", "text")), "exact")
+    keys = [F.col("doc_id"), F.col("text_sha256")]
+    # A pair that repeats: its rows can't be told apart, one of them stays if one is kept.
+    pairs = groups.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1")
+    repeated = stage(pairs.select("doc_id", "text_sha256", "kept"), "repeated")
+    out = groups.where(~F.col("kept")).select("doc_id", "text_sha256")
+    null_safe = {"id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))}
+    out = out.union(repeated.select("doc_id", "text_sha256")).select(
+        null_safe["id"].alias("id"), F.col("text_sha256").alias("digest"))
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    rows = _rows(docs, digest=digest, **null_safe)
+    kept = _without(rows, out, ["id", "digest"]).select("row.*")
+    if repeated.where("kept").isEmpty():
+        return kept
+    again = repeated.where("kept").select(
+        null_safe["id"].alias("id"), F.col("text_sha256").alias("digest"))
+    ones = rows.join(again, ["id", "digest"]).dropDuplicates(["id", "digest"])
+    return kept.unionByName(ones.select("row.*"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = ngram_join.similar(docs.select("doc_id", "text"))
+    out = found.where("doc_id <> component_id").select("doc_id")
+    return _without(_rows(docs, doc_id=F.col("doc_id")), out, ["doc_id"]).select("row.*")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = phrase_index.matches(
+        docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    out = phrase_index.contamination(found).where("contaminated").select("doc_id")
+    return _without(_rows(docs, doc_id=F.col("doc_id")), out, ["doc_id"]).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("packing", packed)]
+STAGES = [
+    ("language ID", identify),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("benchmark decontamination", decontaminate),
+    ("packing", packed),
+]
+
+# The language model's weights come from an iterative fit.
 ORACLE_SQL = None
 
 
