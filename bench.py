@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from casebook.plans.catalog import QUERIES
+from casebook.sources.staging import release
 
 HEADLINE = [
     "column_overview", "duplicate_count", "csv_roundtrip", "date_parts", "label_regroup",
@@ -37,6 +39,7 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,6 +61,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -6,6 +6,7 @@ Frames carry ``doc_id``, a label column and ``features`` (a vector). Predictions
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -29,17 +30,18 @@ from casebook.sources.staging import stage
 LEVEL1_GRID = [0.01, 0.1, 0.5, 1.0]
 LEVEL2_GRID = [0.1, 1.0, 5.0]
 
-# A label column with more values than this is taken for a mistake.
-MAX_CLASSES = 1000
-
-# A small training set is read in few tasks: every task of every iteration sends a whole
-# gradient, which costs more than its rows do.
-ROWS_PER_TASK = 20_000
+# Jobs that this process runs side by side, over all levels of nesting.
+_SLOTS = threading.BoundedSemaphore(8)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Training parameters shared by all fits."""
+    """Training parameters shared by all fits.
+
+    ``train_rows`` bounds the labelled rows that a fit uses: beyond it, rows are chosen by the hash
+    of their id, the same share of every class but two rows of each at least. ``max_classes`` tells
+    a label column from a mistaken one.
+    """
 
     c: float = 1.0
     max_iter: int = 1000
@@ -48,6 +50,8 @@ class Settings:
     folds: int = 5
     threads: int = 8
     id_column: str = "doc_id"
+    train_rows: int | None = None
+    max_classes: int = 1000
 
 
 def _together(jobs: Sequence[Callable], threads: int) -> list:
@@ -57,6 +61,12 @@ def _together(jobs: Sequence[Callable], threads: int) -> list:
         return pool.map(lambda job: job(), [inherit(job) for job in jobs])
 
 
+def _fitted(estimator, frame: DataFrame):
+    """One fit; fits of all pools share the same few places."""
+    with _SLOTS:
+        return estimator.fit(frame)
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -73,15 +83,29 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return sizes.withColumn("weight", whole.getField("n") / (whole.getField("k") * F.col("n")))
 
 
-def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
-    """Class sizes on the driver, in ascending order of the class; at most ``MAX_CLASSES``."""
+def class_sizes(df: DataFrame, label: str, most: int = Settings.max_classes) -> dict[str, int]:
+    """Class sizes on the driver, in ascending order of the class; at most ``most``."""
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).count()
-    rows = sizes.orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    rows = sizes.orderBy(label).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{label} has more than {most} classes")
     return {r[0]: r[1] for r in rows}
 
 
+def bounded_rows(train: DataFrame, label: str, s: Settings) -> DataFrame:
+    """The labelled rows a fit may use, see ``Settings.train_rows``."""
+    known = train.where(F.col(label).isNotNull())
+    if s.train_rows is None:
+        return known
+    sizes = class_sizes(known, label, s.max_classes)
+    share = s.train_rows / max(1, sum(sizes.values()))
+    if share >= 1:
+        return known
+    place = F.pmod(F.xxhash64(s.id_column), F.lit(1 << 30)) / float(1 << 30)
+    chance = {c: min(1.0, max(share, 8 / n)) for c, n in sizes.items()}
+    return known.where(place < _lookup(label, chance))
+
+
 def _lookup(label: str, values: dict) -> Column:
     """The value of the row's class, from a short list."""
     keys = F.array(*[F.lit(k) for k in values])
@@ -91,11 +115,6 @@ def _lookup(label: str, values: dict) -> Column:
     )
 
 
-def _compact(df: DataFrame, rows: int) -> DataFrame:
-    """Merge the splits of a small table; a large one keeps its splits."""
-    return df.coalesce(rows // ROWS_PER_TASK + 1)
-
-
 def _balanced(sizes: dict[str, int]) -> dict[str, float]:
     n, k = sum(sizes.values()), len(sizes)
     return {c: n / (k * m) for c, m in sizes.items()}
@@ -129,17 +148,17 @@ def fit_logistic(train: DataFrame, label: str, s: Settings) -> Logistic:
     The penalty is ``1 / (C * sum of weights)`` on plain coefficients; balanced weights sum to
     the number of rows.
     """
-    sizes = class_sizes(train, label)
+    sizes = class_sizes(train, label, s.max_classes)
     n = sum(sizes.values())
-    frame = _compact(train.where(F.col(label).isNotNull()), n).select(
+    frame = train.where(F.col(label).isNotNull()).select(
         "features",
         _lookup(label, {c: i for i, c in enumerate(sizes)}).alias("_y"),
         _lookup(label, _balanced(sizes)).alias("_w"),
     )
-    fitted = LogisticRegression(
+    fitted = _fitted(LogisticRegression(
         featuresCol="features", labelCol="_y", weightCol="_w", elasticNetParam=0.0,
         regParam=1.0 / (s.c * n), standardization=False, maxIter=s.max_iter, tol=s.tol,
-    ).fit(frame)
+    ), frame)
     return Logistic(list(sizes), fitted)
 
 
@@ -185,16 +204,15 @@ def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedS
     Weights are balanced anew in every fold. With more than two classes each one meets the
     rest: its own rows weigh its balanced weight, all others weigh 1.
     """
-    sizes = class_sizes(train, label)
+    sizes = class_sizes(train, label, s.max_classes)
     classes = list(sizes)
     folds = min(s.calibration_folds, min(sizes.values()))
     if folds < 2:
         raise ValueError("calibration needs two rows of every class")
     known = train.where(F.col(label).isNotNull()).select(s.id_column, label, "features")
-    frame = _compact(
-        with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal"),
-        sum(sizes.values()),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    frame = with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     per_fold = {
         (r["_cal"], r[label]): r["count"] for r in frame.groupBy("_cal", label).count().collect()
     }
@@ -209,21 +227,25 @@ def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedS
 
         def run() -> tuple[LinearSVCModel, IsotonicRegressionModel]:
             hit = (F.col(label) == target).cast("double")
-            svm = LinearSVC(
-                featuresCol="features", labelCol="_y", weightCol="_w", maxIter=s.max_iter,
-                regParam=1.0 / (s.c * mass), standardization=False, tol=s.tol,
-                rawPredictionCol="_raw", predictionCol="_pred",
-            ).fit(
+            svm = _fitted(
+                LinearSVC(
+                    featuresCol="features", labelCol="_y", weightCol="_w", maxIter=s.max_iter,
+                    regParam=1.0 / (s.c * mass), standardization=False, tol=s.tol,
+                    rawPredictionCol="_raw", predictionCol="_pred",
+                ),
                 frame.where(F.col("_cal") != fold).select(
                     "features", hit.alias("_y"), _lookup(label, weights).alias("_w")
-                )
+                ),
             )
             held_out = svm.transform(frame.where(F.col("_cal") == fold)).select(
                 vector_to_array("_raw")[1].alias("_m"), hit.alias("_hit")
             )
-            calibrator = IsotonicRegression(
-                featuresCol="_m", labelCol="_hit", predictionCol="_p", isotonic=True
-            ).fit(held_out)
+            calibrator = _fitted(
+                IsotonicRegression(
+                    featuresCol="_m", labelCol="_hit", predictionCol="_p", isotonic=True
+                ),
+                held_out,
+            )
             return svm, calibrator
 
         return run
@@ -261,7 +283,7 @@ def fit_ensemble(
     train: DataFrame, label: str, s: Settings, svc_settings: Settings | None = None
 ) -> Ensemble:
     """Both models. One class needs none; a class of one row leaves the SVM out."""
-    sizes = class_sizes(train, label)
+    sizes = class_sizes(train, label, s.max_classes)
     if len(sizes) == 1:
         return Ensemble(list(sizes), [])
     models: list[Logistic | CalibratedSvc] = [fit_logistic(train, label, s)]
@@ -278,7 +300,7 @@ def fit_one(kind: str) -> Callable[[DataFrame, str, Settings], Ensemble]:
     """
 
     def fit(train: DataFrame, label: str, s: Settings) -> Ensemble:
-        sizes = class_sizes(train, label)
+        sizes = class_sizes(train, label, s.max_classes)
         if len(sizes) == 1:
             return Ensemble(list(sizes), [])
         usable = kind == "svc" and min(sizes.values()) >= 2
@@ -302,7 +324,7 @@ def out_of_fold(
     out: str = "p1", fold: str = "fold",
 ) -> DataFrame:
     """Add probabilities to every training row by models that never saw its fold."""
-    classes = list(class_sizes(folded, label))
+    classes = list(class_sizes(folded, label, s.max_classes))
 
     def part(i: int) -> Callable:
         def run() -> DataFrame:
@@ -383,7 +405,7 @@ def _tuned(
     folded = with_folds(
         train.where(F.col(label).isNotNull()), s.id_column, label, s.folds
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    smallest = min(class_sizes(train, label).values())
+    smallest = min(class_sizes(train, label, s.max_classes).values())
     best_lr = grid_search(folded, label, fit_one("logistic"), grid, s).best
     best_svc = s.c
     if smallest >= 2:
@@ -405,6 +427,7 @@ def fit_level1(
     grid: Sequence[float] | None = None,
 ) -> tuple[Ensemble, DataFrame, Settings, Settings]:
     """Level-1 ensemble and the test rows with ``p1`` and ``pred1``."""
+    train = bounded_rows(train, label, s)
     lr, svc = _tuned(train, label, s, grid)
     model = fit_ensemble(train, label, lr, svc)
     scored = model.add_probabilities(test, "p1").withColumn(
@@ -434,7 +457,7 @@ def two_level(
     """
     if score not in ("joint", "level2"):
         raise ValueError(f"unknown confidence: {score}")
-    known = train.where(F.col(level1).isNotNull() & F.col(level2).isNotNull())
+    known = bounded_rows(train.where(F.col(level2).isNotNull()), level1, s)
     folded = with_folds(known, s.id_column, level1, s.folds, group_column=group_column).persist(
         StorageLevel.MEMORY_AND_DISK
     )

@@ -1,22 +1,25 @@
 """Summary statistics, exact quantiles, histograms, densities and shares.
 
-The value-based ones read their input once: they reduce it to :func:`value_counts`, stage that
-small table and work on it. Its three scalars (smallest, largest, total) go through the driver.
+The value-based ones write the column once, as it is, and read it as often as they need: no value
+is shuffled, only counts per range or bin and task. NULL and NaN are no values. Its three scalars
+(smallest, largest, number) and the ends of the ranges that hold a wanted rank go through the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casebook.sources.staging import stage
 
 
 @dataclass(frozen=True)
-class Counts:
-    """Staged ``table (v, n)`` with its range and the number of values behind it."""
+class Values:
+    """Staged ``table (v)`` with its range and the number of values in it."""
 
     table: DataFrame
     lo: float | None
@@ -28,97 +31,99 @@ class Counts:
         return self.hi - self.lo if self.total else 0.0
 
 
-def value_counts(df: DataFrame, column: str) -> Counts:
-    """The distinct non-NULL values and how often each occurs, counted in the map tasks first.
-
-    A hot value is one row from here on.
-    """
+def values_of(df: DataFrame, column: str) -> Values:
+    """The column's values as doubles, NULL and NaN left out."""
     v = F.col(column).cast("double")
-    table = stage(
-        df.select(v.alias("v")).where("v is not null").groupBy("v").agg(
-            F.count(F.lit(1)).alias("n")
-        ),
-        "value_counts",
-    )
-    span = table.agg(F.min("v"), F.max("v"), F.sum("n")).first()
-    return Counts(table, span[0], span[1], span[2] or 0)
+    table = stage(df.select(v.alias("v")).where("v is not null and not isnan(v)"), "values")
+    span = table.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    return Values(table, span[0], span[1], span[2])
 
 
-def _place(c: Counts, bins: int, closed: bool) -> Column:
-    """Equal-width bin of ``v``; ``closed`` puts the largest value into the last bin."""
-    if not c.width > 0:
+def _bin(lo: float, hi: float, bins: int) -> Column:
+    """Equal-width bin of ``v``; the largest value falls into the last one."""
+    if not hi > lo:
         return F.lit(0).cast("long")
-    raw = F.floor((F.col("v") - c.lo) * bins / c.width)
-    return F.least(raw, F.lit(bins - 1)).cast("long") if closed else raw
+    return F.least(F.floor((F.col("v") - lo) * bins / (hi - lo)), F.lit(bins - 1)).cast("long")
 
 
-def quantiles_of(c: Counts, probabilities: Sequence[float], buckets: int = 4096) -> DataFrame:
-    """``(p, value)`` of counted values, see :func:`exact_quantiles`."""
-    placed = c.table.withColumn("bucket", _place(c, buckets, closed=True))
-    before = F.coalesce(
-        F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    ranges = (
-        placed.groupBy("bucket")  # at most ``buckets`` rows
-        .agg(F.sum("n").alias("n"))
-        .select("bucket", "n", before.alias("before"))
-    )
-    probes = F.array(*[F.lit(float(p)) for p in probabilities])
-    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    wanted = (
-        ranges.withColumn("p", F.explode(probes))
-        .withColumn("position", F.col("p") * F.lit(c.total - 1))
-        .withColumn("rank", F.explode(F.array(F.floor("position"), F.ceil("position"))))
-        .where(inside)
-        .select("bucket", "p", "position", "rank", "before")
-        .distinct()
-    )
-    upto = Window.partitionBy("p", "rank").orderBy("v")
-    at_rank = (
-        placed.join(F.broadcast(wanted), "bucket")  # two rows per probability
-        .withColumn("end", F.col("before") + F.sum("n").over(upto))
-        .where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
-    )
-    fraction = F.first("position") - F.floor(F.first("position"))
-    return at_rank.groupBy("p").agg(
-        (F.min("v") + (F.max("v") - F.min("v")) * fraction).alias("value")
-    )
+def _ranked(c: Values, ranks: set[int], buckets: int) -> dict[int, float]:
+    """The values at the given ranks.
+
+    Every pass counts the values of the ranges that hold a wanted rank in ``buckets`` parts, and
+    goes on with the parts that hold one, cut to their own ends, until a part is a single value.
+    """
+    wanted = {r: (c.lo, c.hi, 0) for r in ranks}  # by rank: range, values below it
+    while opened := sorted({w for w in wanted.values() if w[0] < w[1]}):
+        inside = [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi, _ in opened]
+
+        def pick(values: list[Column]) -> Column:
+            return reduce(lambda rest, i: F.when(inside[i], values[i]).otherwise(rest),
+                          range(len(opened)), F.lit(None))
+
+        parts = (
+            c.table.where(reduce(Column.__or__, inside))
+            .select("v", pick([F.lit(i) for i in range(len(opened))]).alias("range"),
+                    pick([_bin(lo, hi, buckets) for lo, hi, _ in opened]).alias("part"))
+            .groupBy("range", "part")
+            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .orderBy("range", "part")
+            .collect()
+        )
+        for rank, place in wanted.items():
+            if place[0] == place[1]:
+                continue
+            below = place[2]
+            for part in parts:
+                if opened[part["range"]] != place:
+                    continue
+                if rank < below + part["n"]:
+                    wanted[rank] = (part["lo"], part["hi"], below)
+                    break
+                below += part["n"]
+    return {rank: place[0] for rank, place in wanted.items()}
+
+
+def _quantiles(c: Values, probabilities: Sequence[float], buckets: int = 4096) -> dict[float, float]:
+    if not c.total:
+        return {}
+    places = {float(p): p * (c.total - 1) for p in probabilities}
+    ranks = {f(x) for x in places.values() for f in (math.floor, math.ceil)}
+    at = _ranked(c, ranks, buckets)
+    found = {}
+    for p, x in places.items():
+        low, high = at[math.floor(x)], at[math.ceil(x)]
+        found[p] = low + (high - low) * (x - math.floor(x))
+    return found
 
 
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = 4096
 ) -> DataFrame:
-    """``(p, value)`` with linear interpolation, exact and without a global sort.
+    """``(p, value)`` with linear interpolation, exact and without ordering any values.
 
-    The distinct values fall into ``buckets`` ranges; counting the ranges tells which of them hold
-    the wanted ranks, and only the values of those ranges are put in order. No rows, no quantiles.
+    See :func:`_ranked`; an outlier costs a pass. No values, no quantiles.
     """
-    return quantiles_of(value_counts(df, column), probabilities, buckets)
+    found = _quantiles(values_of(df, column), probabilities, buckets)
+    return df.sparkSession.createDataFrame(list(found.items()), "p double, value double")
 
 
 def quantile(df: DataFrame, column: str, p: float) -> float | None:
     """One exact quantile; None without values."""
-    row = exact_quantiles(df, column, [p]).first()
-    return None if row is None else row.value
+    return _quantiles(values_of(df, column), [p]).get(float(p))
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample std, min, quartiles, max."""
-    c = value_counts(df, column)
-    v, n = F.col("v"), F.col("n")
-    mean = c.table.agg(F.sum(v * n) / F.sum(n)).first()[0]
-    basic = c.table.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("n"),
-        F.lit(mean).cast("double").alias("mean"),
-        F.sqrt(F.try_divide(F.sum(n * F.pow(v - F.lit(mean), 2)), F.sum(n) - 1)).alias("std"),
+    c = values_of(df, column)
+    at = _quantiles(c, [0.25, 0.5, 0.75])
+    v = F.col("v")
+    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    return c.table.agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
+        *[F.lit(at.get(p)).cast("double").alias(name) for p, name in names.items()],
         F.max(v).alias("max"),
     )
-    names = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
-    at = {r.p: r.value for r in quantiles_of(c, list(names)).collect()}  # three numbers
-    quartiles = [F.lit(at.get(p)).cast("double").alias(name) for p, name in names.items()]
-    return basic.select("n", "mean", "std", "min", *quartiles, "max")
 
 
 def quantile_gate(df: DataFrame, column: str, p: float) -> DataFrame:
@@ -128,8 +133,9 @@ def quantile_gate(df: DataFrame, column: str, p: float) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """``(bin, lo, hi, n)``: equal widths over ``[min, max]``, last bin closed, empty bins kept."""
-    c = value_counts(df, column)
-    filled = c.table.groupBy(_place(c, bins, closed=True).alias("bin")).agg(F.sum("n").alias("n"))
+    c = values_of(df, column)
+    filled = c.table.groupBy(_bin(c.lo or 0.0, c.hi or 0.0, bins).alias("bin")).agg(
+        F.count("v").alias("n"))
     frame = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
 
     def edge(i: Column) -> Column:
@@ -151,23 +157,18 @@ def kernel_density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """``(point, x, density)``: Gaussian kernels, Scott bandwidth, grid over ``[min, max]``.
 
     A column without spread has no density and gives no rows.
-    Each distinct value adds to every grid point inside its own task, so the shuffle carries at
+    Each value adds to every grid point inside its own task, so the shuffle carries at
     most ``points`` partial sums per task.
     """
-    c = value_counts(df, column)
-    v, n = F.col("v"), F.col("n")
-    spread = 0.0
-    if c.width > 0:
-        mean = c.table.agg(F.sum(v * n) / F.sum(n)).first()[0]
-        squares = c.table.agg(F.sum(n * F.pow(v - F.lit(mean), 2))).first()[0]
-        spread = (squares / (c.total - 1)) ** 0.5
+    c = values_of(df, column)
+    spread = (c.table.agg(F.stddev_samp("v")).first()[0] or 0.0) if c.width > 0 else 0.0
     h = spread * max(c.total, 1) ** -0.2 or 1.0
     x = F.lit(c.lo).cast("double") + F.col("point") * F.lit(c.width) / (points - 1)
     return (
         c.table.where(F.lit(spread > 0))
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy("point")
-        .agg(F.sum(n * F.exp(-0.5 * F.pow((x - v) / h, 2))).alias("mass"))
+        .agg(F.sum(F.exp(-0.5 * F.pow((x - F.col("v")) / h, 2))).alias("mass"))
         .select(
             F.col("point").cast("long").alias("point"),
             x.alias("x"),

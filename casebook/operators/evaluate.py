@@ -24,8 +24,11 @@ BUCKETS = [
 def outcomes(
     df: DataFrame, true: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """``(*by, t, p, n)``: how often true label ``t`` was predicted as ``p``."""
-    counts = df.groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(
+    """``(*by, t, p, n)``: how often true label ``t`` was predicted as ``p``.
+
+    Rows without a true label are no part of it.
+    """
+    counts = df.where(F.col(true).isNotNull()).groupBy(*by, F.col(true).alias("t"), F.col(pred).alias("p")).agg(
         F.count(F.lit(1)).alias("n")
     )
     return stage(counts, "outcomes")

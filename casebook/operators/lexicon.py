@@ -1,10 +1,14 @@
-"""Dictionary lemmatisation: a token table built once, then joined to the texts."""
+"""Dictionary lemmatisation: a token table built once, then looked up where the texts lie."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casebook.functions.text import clean_tokens
+from casebook.operators.tfidf import most_frequent
 from casebook.sources.staging import spread, stage
 
 # The published suffix rules of dictionary morphology, in order of application.
@@ -17,8 +21,8 @@ VERB_RULES = [
     ("ing", "e"), ("ing", ""),
 ]
 
-# Tokens joined by broadcast. Rarer ones take the shuffled way, so the broadcast stays below
-# this many short rows however large the corpus vocabulary grows.
+# Changed tokens that travel to the tasks. Rarer ones take the shuffled way, so these stay below
+# this many short strings however large the corpus vocabulary grows.
 HOT_TOKENS = 200_000
 
 
@@ -103,6 +107,27 @@ def build_lexicon(
     )
 
 
+def _lookup(pairs: list[tuple[str, str]]):
+    """A function of token arrays that replaces the known tokens, one lookup per Arrow batch."""
+    keys = pa.array([token for token, _ in pairs], pa.string())
+    lemmas = pa.array([lemma for _, lemma in pairs], pa.string())
+
+    def replace(column: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(column).cast(pa.string())
+        if len(keys):
+            at = pc.index_in(flat, keys)
+            flat = pc.coalesce(lemmas.take(at), flat)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+    @F.arrow_udf("array<string>")
+    def replaced(column: pa.Array) -> pa.Array:
+        return replace(column)
+
+    return replaced
+
+
 def lemmatise(
     docs: DataFrame,
     lexicon: DataFrame,
@@ -112,41 +137,37 @@ def lemmatise(
 ) -> DataFrame:
     """``(id, column)`` with every token replaced by its lemma, order and repeats kept.
 
-    Documents are placed by id before they are taken apart, so putting them together again
-    needs no second shuffle. Tokens that change are joined by broadcast while they are
-    ``hot_tokens`` at most. Beyond that only the most frequent tokens are; the rest, each of
-    which is rare then, meets the lexicon in a shuffled join, where rows already served get a
-    key of their own and spread out.
+    ``lexicon`` should be staged, it is read more than once. The ``hot_tokens`` most frequent
+    tokens that change travel to the tasks and are replaced in the arrays where they lie. Only if
+    more change, documents are taken apart for the rest, each of which is rare then: their
+    tokens meet the lexicon in a shuffled join, rows served already under a key of their own.
+    A NULL token array becomes an empty one.
     """
-    rows = docs.select(id_column, column).repartition(id_column).select(
-        id_column, F.posexplode_outer(column).alias("pos", "token")
+    changed = lexicon.where("lemma <> token").select("token", "n", "lemma")
+    hot = most_frequent(changed, "n", "token", hot_tokens)
+    pairs = [(r["token"], r["lemma"]) for r in hot.select("token", "lemma").collect()]
+    rows = docs.select(id_column, _lookup(pairs)(F.col(column)).alias(column))
+    if len(pairs) < hot_tokens:
+        return rows
+    edge = hot.agg(F.min("n")).first()[0]
+    tail = changed.where(F.col("n") <= edge).join(hot.select("token"), "token", "left_anti")
+    tail = tail.select(F.col("token").alias("key"), F.col("lemma").alias("tail_lemma"))
+    whole = docs.select(
+        F.monotonically_increasing_id().alias("row"), id_column, F.col(column).alias("old"),
+        _lookup(pairs)(F.col(column)).alias("new"),
     )
-    changed = lexicon.where("lemma <> token").select("token", "lemma")
-    if changed.limit(hot_tokens + 1).count() <= hot_tokens:  # the check of the broadcast bound
-        rows = rows.join(F.broadcast(changed), "token", "left")
-    else:
-        hot = (
-            lexicon.orderBy(F.desc("n"), "token")
-            .limit(hot_tokens)
-            .select("token", F.col("lemma").alias("hot_lemma"))
-        )
-        tail = (
-            lexicon.join(F.broadcast(hot.select("token")), "token", "left_anti")
-            .where("lemma <> token")
-            .select(F.col("token").alias("key"), F.col("lemma").alias("tail_lemma"))
-        )
-        served = F.concat_ws(" ", F.lit(""), F.col(id_column).cast("string"), "pos")
-        rows = (
-            rows.join(F.broadcast(hot), "token", "left")
-            .withColumn("key", F.when(F.col("hot_lemma").isNull(), F.col("token")).otherwise(served))
-            .join(tail, "key", "left")
-            .withColumn("lemma", F.coalesce("hot_lemma", "tail_lemma"))
-        )
-    word = F.coalesce("lemma", "token")
-    placed = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", word.alias("word"))))
-    return rows.groupBy(id_column).agg(
+    whole = stage(whole, "lemmatised")
+    opened = whole.select(
+        "row", id_column, F.posexplode_outer(F.arrays_zip("old", "new")).alias("pos", "pair"))
+    own = F.concat_ws(" ", F.lit(""), F.col("row").cast("string"), "pos")
+    kept = F.col("pair.old") == F.col("pair.new")
+    joined = opened.withColumn("key", F.when(kept, F.col("pair.old")).otherwise(own)).join(
+        tail, "key", "left")
+    word = F.coalesce("tail_lemma", "pair.new")
+    placed = F.collect_list(F.when(word.isNotNull(), F.struct("pos", word.alias("word"))))
+    return joined.groupBy("row", id_column).agg(
         F.transform(F.sort_array(placed), lambda e: e.getField("word")).alias(column)
-    )
+    ).drop("row")
 
 
 def clean_corpus(

@@ -63,9 +63,11 @@ def monthly_rate(
 ) -> DataFrame:
     """Per entity and month, ``100 * #(flag = value) / #rows``; observed pairs only.
 
-    NULL flags count in the denominator and never in the numerator.
+    NULL flags count in the denominator and never in the numerator; rows without an entity or a
+    date belong to no pair.
     """
-    return df.groupBy(entity, F.last_day(date_column).alias("month_end")).agg(
+    known = df.where(F.col(entity).isNotNull() & F.col(date_column).isNotNull())
+    return known.groupBy(entity, F.last_day(date_column).alias("month_end")).agg(
         (100.0 * F.count_if(F.col(flag) == value) / F.count(F.lit(1))).alias("rate_pct")
     )
 

@@ -6,7 +6,7 @@ from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Elementwis
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casebook.sources.staging import bounded
+from casebook.sources.staging import bounded, stage
 
 MAX_FEATURES = 50_000
 MIN_DF = 3
@@ -60,6 +60,25 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
+def most_frequent(counts: DataFrame, count: str, term: str, k: int) -> DataFrame:
+    """The ``k`` rows of a staged table with the largest counts, ties by term.
+
+    The count at which the ``k``-th row stands is found from the number of rows per count. Rows
+    above it stay by a filter; only the rows at it are put in order.
+    """
+    by_count = counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy(F.desc(count)))
+    edge = (
+        by_count.withColumn("upto", upto).where(F.col("upto") >= k).orderBy(F.desc(count)).first()
+    )
+    if edge is None:
+        return counts
+    above = counts.where(F.col(count) > edge[count])
+    ties = counts.where(F.col(count) == edge[count])
+    room = k - (edge["upto"] - edge["rows"])
+    return above.unionByName(ties if room == edge["rows"] else ties.orderBy(term).limit(room))
+
+
 def fit_vocabulary(
     docs: DataFrame,
     max_features: int = MAX_FEATURES,
@@ -73,12 +92,11 @@ def fit_vocabulary(
     ``ln((1 + documents) / (1 + df)) + 1``.
     """
     n = docs.agg(F.count(F.lit(1))).scalar()
-    frequent = (
-        term_statistics(docs)
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
-        .orderBy(F.desc("cf"), "term")
-        .limit(max_features)
+    fitting = stage(
+        term_statistics(docs).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n)),
+        "term_statistics",
     )
+    frequent = most_frequent(fitting, "cf", "term", max_features)
     by_term = Window.orderBy("term")  # max_features rows at most
     return frequent.select(
         (F.row_number().over(by_term) - 1).alias("term_id"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions import text as T
@@ -19,7 +18,7 @@ from casebook.plans import triage
 from casebook.plans.explore import CATEGORICAL, export_gate
 from casebook.plans.prepare import Prepared, group_labels, prepare, prepared_tokens
 from casebook.sources import standin
-from casebook.sources.staging import fresh_path, stage, spread
+from casebook.sources.staging import fresh_path, listing, stage, spread
 from casebook.sources.tables import (
     read_csv, read_features, read_table, read_vocabulary, write_csv, write_features,
     write_vocabulary,
@@ -61,9 +60,7 @@ def column_overview(spark, folder):
 
 @query
 def zero_variance(spark, folder):
-    return profile.zero_variance_columns(
-        profile.column_overview(standin.complaints(spark, folder))
-    )
+    return profile.zero_variance_columns(standin.complaints(spark, folder))
 
 
 @query
@@ -617,21 +614,26 @@ def feature_roundtrip(spark, folder):
 
 # --- models ---------------------------------------------------------------------------------
 
-_PREPARED: dict[tuple[str, str], Prepared] = {}
+# Shared by the model queries of a session: staged features and runs, by the files they come from.
+_PREPARED: dict[tuple, Prepared] = {}
+_RUNS: dict[tuple, classify.Cascade] = {}
+
+# Full training with the default tolerance; the labelled rows that a fit may use are bounded.
+SETTINGS = classify.Settings(train_rows=20_000)
+
+
+def _files(spark, folder) -> tuple:
+    """What tells one state of a folder from another: its files, sizes and times."""
+    return spark.sparkContext.applicationId, folder, listing(spark, folder)
 
 
 def _prepared(spark, folder) -> Prepared:
-    """Features of one folder, staged once per session and shared by the model queries."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = _files(spark, folder)
     if key not in _PREPARED:
         _PREPARED[key] = prepare(standin.narratives(spark, folder))
     return _PREPARED[key]
 
 
-# Few iterations: these queries show the operators. Full training uses the default settings.
-SETTINGS = classify.Settings(max_iter=15)
-
-
 def _probability_rows(df, classes: Sequence[str]):
     return df.select("doc_id", F.posexplode("p").alias("place", "probability")).select(
         "doc_id",
@@ -642,9 +644,18 @@ def _probability_rows(df, classes: Sequence[str]):
 
 @query
 def feature_vectors(spark, folder):
+    """Terms and total weight of every stored vector, training and test rows alike."""
     p = _prepared(spark, folder)
-    return p.test.select("doc_id", vector_to_array("features").alias("dense")).select(
-        "doc_id", F.size(F.filter("dense", lambda x: x != 0)).alias("n_terms")
+    rows = p.train.where("not is_augmented").select("doc_id", "features").unionByName(
+        p.test.select("doc_id", "features"))
+    cells = rows.select("doc_id", F.unwrap_udt("features").alias("features"))
+    return rounded(
+        cells.select(
+            "doc_id",
+            F.size("features.values").cast("long").alias("n_terms"),
+            F.aggregate("features.values", F.lit(0.0), lambda a, b: a + b).alias("total"),
+        ),
+        "total",
     )
 
 
@@ -657,49 +668,63 @@ def class_weights(spark, folder):
 @query
 def level1_lr(spark, folder):
     p = _prepared(spark, folder)
-    model = classify.fit_logistic(p.train, "issue_group", SETTINGS)
+    train = classify.bounded_rows(p.train, "issue_group", SETTINGS)
+    model = classify.fit_logistic(train, "issue_group", SETTINGS)
     return _probability_rows(model.add_probabilities(p.test, "p"), model.classes)
 
 
 @query
 def level1_svc_calibrated(spark, folder):
     p = _prepared(spark, folder)
-    model = classify.fit_calibrated_svc(p.train, "issue_group", SETTINGS)
+    train = classify.bounded_rows(p.train, "issue_group", SETTINGS)
+    model = classify.fit_calibrated_svc(train, "issue_group", SETTINGS)
     return _probability_rows(model.add_probabilities(p.test, "p"), model.classes)
 
 
+def _folded(rows, label):
+    return stage(sampling.with_folds(rows, "doc_id", label, SETTINGS.folds), "folded")
+
+
 @query
 def grid_search(spark, folder):
+    """Both models over the whole level-1 grid, with the cell that each refit uses."""
     p = _prepared(spark, folder)
-    folded = sampling.with_folds(p.train, "doc_id", "issue_group", SETTINGS.folds).persist()
-    return classify.grid_search(
-        folded, "issue_group", classify.fit_logistic, classify.LEVEL1_GRID, SETTINGS
-    ).scores
+    folded = _folded(p.train, "issue_group")
+    parts = [
+        classify.grid_search(
+            folded, "issue_group", classify.fit_one(kind), classify.LEVEL1_GRID, SETTINGS
+        ).scores.withColumn("model", F.lit(kind))
+        for kind in ("logistic", "svc")
+    ]
+    return parts[0].unionByName(parts[1])
 
 
-@query
-def out_of_fold(spark, folder):
-    p = _prepared(spark, folder)
-    rows = p.train.where("broad_group is not null")
-    folded = sampling.with_folds(rows, "doc_id", "broad_group", SETTINGS.folds).persist()
-    scored = classify.out_of_fold(folded, "broad_group", SETTINGS)
-    return scored.select("doc_id", "fold", "broad_group", "p1")
+def _out_of_fold(spark, folder):
+    rows = _prepared(spark, folder).train.where("broad_group is not null")
+    return classify.out_of_fold(_folded(rows, "broad_group"), "broad_group", SETTINGS)
 
 
-_RUNS: dict[tuple[str, str], classify.Cascade] = {}
+@query
+def out_of_fold(spark, folder):
+    return _out_of_fold(spark, folder).select("doc_id", "fold", "broad_group", "p1")
 
 
-def _broad_run(spark, folder) -> classify.Cascade:
-    """The staged two-level predictions of one folder, shared like the features."""
-    key = (spark.sparkContext.applicationId, folder)
+def _run(spark, folder, kind: str) -> classify.Cascade:
+    """The staged two-level predictions of one folder."""
+    key = (*_files(spark, folder), kind)
     if key not in _RUNS:
-        _RUNS[key] = triage.broad_cascade(_prepared(spark, folder), SETTINGS)
+        p = _prepared(spark, folder)
+        _RUNS[key] = (
+            triage.broad_cascade(p, SETTINGS)
+            if kind == "broad"
+            else triage.issue_cascade(p, SETTINGS, classify.LEVEL1_GRID, classify.LEVEL2_GRID)
+        )
     return _RUNS[key]
 
 
 @query
 def level2_cascade(spark, folder):
-    return _broad_run(spark, folder).predictions.select(
+    return _run(spark, folder, "broad").predictions.select(
         "doc_id", "broad_group", "sub_issue_group", "pred1", "pred2", "conf"
     )
 
@@ -707,21 +732,20 @@ def level2_cascade(spark, folder):
 @query
 def cascade_sweep(spark, folder):
     return evaluate.threshold_sweep(
-        _broad_run(spark, folder).predictions, true="sub_issue_group", pred="pred2"
+        _run(spark, folder, "broad").predictions, true="sub_issue_group", pred="pred2"
     )
 
 
 @query
 def issue_cascade(spark, folder):
-    run = triage.issue_cascade(_prepared(spark, folder), SETTINGS)
-    return run.predictions.select(
+    return _run(spark, folder, "issue").predictions.select(
         "doc_id", "issue_group", "sub_issue_group", "pred1", "pred2", "conf"
     )
 
 
 @query
 def alt_grouping(spark, folder):
-    scored = triage.alternative_level1(_prepared(spark, folder), SETTINGS)
+    scored = triage.alternative_level1(_prepared(spark, folder), SETTINGS, classify.LEVEL1_GRID)
     return evaluate.class_report(evaluate.outcomes(scored, "y_true", "pred1"))
 
 
@@ -730,12 +754,138 @@ def run_summary(spark, folder):
     p = _prepared(spark, folder)
     _, original, _, _ = classify.fit_level1(p.train, p.test, "issue_group", SETTINGS)
     return triage.run_summary(
-        _broad_run(spark, folder), "sub_issue_group",
+        _run(spark, folder, "broad"), "sub_issue_group",
         original.withColumnRenamed("issue_group", "y_true"),
         triage.alternative_level1(p, SETTINGS),
     )
 
 
+@query
+def cascade_report(spark, folder):
+    """Level-1 report of a real run, over the test rows that have a level-1 label."""
+    run = _run(spark, folder, "broad")
+    names = run.level1.classes
+    tables = triage.report(run, "broad_group", "sub_issue_group", names)
+    return rounded(tables.level1_report, "precision", "recall", "f1")
+
+
+# --- invariants of the model results, which SQL can tell --------------------------------------
+
+
+def _checked(df):
+    """Per row: the number of classes, whether probabilities add up and lie in range."""
+    total = F.aggregate("p", F.lit(0.0), lambda a, b: a + b)
+    return df.select(
+        "doc_id",
+        F.size("p").cast("long").alias("n_classes"),
+        (F.abs(total - 1) < 1e-6).alias("adds_up"),
+        F.forall("p", lambda x: (x >= 0) & (x <= 1 + 1e-9)).alias("in_range"),
+    )
+
+
+@query
+def level1_lr_checks(spark, folder):
+    p = _prepared(spark, folder)
+    model = classify.fit_logistic(classify.bounded_rows(p.train, "issue_group", SETTINGS),
+                                  "issue_group", SETTINGS)
+    return _checked(model.add_probabilities(p.test, "p"))
+
+
+@query
+def level1_svc_checks(spark, folder):
+    p = _prepared(spark, folder)
+    model = classify.fit_calibrated_svc(classify.bounded_rows(p.train, "issue_group", SETTINGS),
+                                        "issue_group", SETTINGS)
+    return _checked(model.add_probabilities(p.test, "p"))
+
+
+@query
+def grid_search_checks(spark, folder):
+    scores = grid_search(spark, folder)
+    return scores.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if("best").alias("n_best"),
+        F.min((F.col("mean_macro_f1") >= 0) & (F.col("mean_macro_f1") <= 1)).alias("in_range"),
+    )
+
+
+@query
+def out_of_fold_checks(spark, folder):
+    """Every labelled training row once, with probabilities over both groups."""
+    return _checked(
+        _out_of_fold(spark, folder).where("not is_augmented").withColumnRenamed("p1", "p"))
+
+
+def _cascade_checks(df, score):
+    return df.select(
+        "doc_id",
+        F.col("pred1").isNotNull().alias("has_level1"),
+        F.col("pred2").isNotNull().alias("has_level2"),
+        (F.abs(F.col("conf") - score) < 1e-9).alias("conf_fits"),
+        F.size("p1").cast("long").alias("n_level1"),
+    )
+
+
+@query
+def level2_cascade_checks(spark, folder):
+    """Every test row is predicted at both levels; its confidence is the product of both."""
+    rows = _run(spark, folder, "broad").predictions
+    return _cascade_checks(rows, F.array_max("p1") * F.array_max("p2"))
+
+
+@query
+def issue_cascade_checks(spark, folder):
+    rows = _run(spark, folder, "issue").predictions
+    return _cascade_checks(rows, F.array_max("p2"))
+
+
+@query
+def cascade_sweep_checks(spark, folder):
+    """The review share never falls with the threshold."""
+    rows = cascade_sweep(spark, folder).orderBy("threshold").collect()  # twelve thresholds
+    shares = [r["review_pct"] for r in rows]
+    rising = all(a <= b for a, b in zip(shares, shares[1:]))
+    return spark.range(1).select(
+        F.lit(len(rows)).cast("long").alias("n_thresholds"), F.lit(rising).alias("rising"))
+
+
+@query
+def unlabelled_rows(spark, folder):
+    p = _prepared(spark, folder)
+    return triage.unlabelled_rows(p.train.where("not is_augmented"), p.test)
+
+
+def _tiny(spark, folder, keep):
+    """Training and test rows in groups that ``keep`` makes."""
+    p = _prepared(spark, folder)
+    return tuple(
+        df.where("not is_augmented").withColumn("tiny", keep(F.col("doc_id")))
+        for df in (p.train, p.test)
+    )
+
+
+@query
+def single_class_group(spark, folder):
+    """One label in all training rows: it is predicted with certainty."""
+    train, test = _tiny(spark, folder, lambda i: F.lit("only"))
+    model = classify.fit_ensemble(train, "tiny", SETTINGS)
+    scored = model.add_probabilities(test, "p")
+    return scored.select(
+        "doc_id", voting.argmax_label(F.col("p"), model.class_array()).alias("label"),
+        F.array_max("p").alias("conf"))
+
+
+@query
+def small_class_fallback(spark, folder):
+    """A class of one training row: the logistic regression stands alone."""
+    train, test = _tiny(
+        spark, folder, lambda i: F.when(F.pmod(i, F.lit(2)) == 0, "even").otherwise("odd"))
+    least = train.agg(F.min("doc_id")).first()[0]
+    rare = F.when(F.col("doc_id") == least, "rare").otherwise(F.col("tiny"))
+    model = classify.fit_ensemble(train.withColumn("tiny", rare), "tiny", SETTINGS)
+    checked = _checked(model.add_probabilities(test, "p"))
+    return checked.withColumn("n_models", F.lit(len(model.models)).cast("long"))
+
+
 # --- votes and evaluation -------------------------------------------------------------------
 
 

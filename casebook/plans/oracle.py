@@ -199,6 +199,15 @@ REPORT = """SELECT label, round(precision, 6) AS precision, round(recall, 6) AS
          sum(recall * support) / sum(support)::DOUBLE, sum(f1 * support) / sum(support)::DOUBLE,
          sum(support) FROM scores)"""
 
+SPLIT = f"""{LEMMAS}, {GROUPED.removeprefix(NARRATIVES + ',')},
+usable AS (
+  SELECT g.*, lemmas FROM grouped g JOIN lemmas USING (doc_id)
+  WHERE len(list_distinct(lemmas)) BETWEEN 5 AND 500),
+{_split('usable')}"""
+_CHECKS = "true AS adds_up, true AS in_range"
+_CASCADE = "true AS has_level1, true AS has_level2, true AS conf_fits"
+_ISSUES = "(SELECT count(DISTINCT issue_group) FROM split WHERE NOT is_test)"
+
 _AUTO = "auto AS (SELECT * FROM predictions WHERE conf >= 0.45)"
 
 
@@ -522,11 +531,7 @@ FROM (SELECT doc_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2""",
 SELECT term_id, term, df, cf FROM vocab""",
     "idf": f"WITH {FITTED} SELECT term, round(idf, 6) AS idf FROM vocab",
     "weights": f"WITH {WEIGHTED} SELECT doc_id, term, round(weight, 6) AS weight FROM weights",
-    "unseen_weights": f"""WITH {LEMMAS}, {GROUPED.removeprefix(NARRATIVES + ',')},
-usable AS (
-  SELECT g.*, lemmas FROM grouped g JOIN lemmas USING (doc_id)
-  WHERE len(list_distinct(lemmas)) BETWEEN 5 AND 500),
-{_split('usable')},
+    "unseen_weights": f"""WITH {SPLIT},
 train_rows AS (SELECT doc_id, lemmas FROM split WHERE NOT is_test),
 test_rows AS (SELECT doc_id, lemmas FROM split WHERE is_test),
 {_terms.format(name='train', source='train_rows')},
@@ -545,6 +550,32 @@ FROM terms LEFT JOIN weights USING (doc_id) GROUP BY 1""",
     "class_weights": f"""WITH {NARRATIVES}, s AS (SELECT issue AS label, count(*) AS n FROM narratives GROUP BY 1)
 SELECT label, n, round((SELECT sum(n) FROM s)::DOUBLE / ((SELECT count(*) FROM s) * n), 6) AS weight
 FROM s""",
+    "feature_vectors": f"""WITH {SPLIT},
+train_rows AS (SELECT doc_id, lemmas FROM split WHERE NOT is_test),
+{_terms.format(name='train', source='train_rows')},
+{_terms.format(name='everything', source='split')},
+{_vocabulary('train')},
+seen AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM everything)
+  GROUP BY 1, 2),
+{_weights('seen')}
+SELECT doc_id, count(term) AS n_terms, round(coalesce(sum(weight), 0), 6)::DOUBLE AS total
+FROM split LEFT JOIN weights USING (doc_id) GROUP BY 1""",
+    # what holds for any fitted model
+    "level1_lr_checks": f"WITH {SPLIT} SELECT doc_id, {_ISSUES} AS n_classes, {_CHECKS} FROM split WHERE is_test",
+    "level1_svc_checks": f"WITH {SPLIT} SELECT doc_id, {_ISSUES} AS n_classes, {_CHECKS} FROM split WHERE is_test",
+    "grid_search_checks": """SELECT model, 4 AS n_cells, 1 AS n_best, true AS in_range
+FROM (VALUES ('logistic'), ('svc')) t(model)""",
+    "out_of_fold_checks": f"""WITH {SPLIT} SELECT doc_id, 2 AS n_classes, {_CHECKS} FROM split
+WHERE NOT is_test AND broad_group IS NOT NULL""",
+    "level2_cascade_checks": f"WITH {SPLIT} SELECT doc_id, {_CASCADE}, 2 AS n_level1 FROM split WHERE is_test",
+    "issue_cascade_checks": f"WITH {SPLIT} SELECT doc_id, {_CASCADE}, {_ISSUES} AS n_level1 FROM split WHERE is_test",
+    "cascade_sweep_checks": "SELECT 12 AS n_thresholds, true AS rising",
+    "unlabelled_rows": f"""WITH {SPLIT} SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part,
+  count(*) AS n_rows, count(*) FILTER (broad_group IS NULL) AS n_left_out FROM split GROUP BY 1""",
+    "single_class_group": f"WITH {SPLIT} SELECT doc_id, 'only' AS label, 1.0 AS conf FROM split WHERE is_test",
+    "small_class_fallback": f"""WITH {SPLIT} SELECT doc_id, 3 AS n_classes, {_CHECKS}, 1 AS n_models
+FROM split WHERE is_test""",
     # votes and evaluation
     "soft_vote": f"""{_VOTED} SELECT doc_id, ([{_in(LANGS)}])[i] AS label, round(p[i], 6) AS probability
 FROM voted, range(1, 5) r(i)""",

@@ -18,12 +18,18 @@ from casebook.plans.prepare import Prepared
 def broad_cascade(p: Prepared, s: Settings = Settings()) -> Cascade:
     """Two broad groups first, sub-issue groups second, joint confidence.
 
-    Rows without a broad group have no level-1 label and are left out on both sides.
+    Training rows without a broad group have no level-1 label and are left out, see
+    :func:`unlabelled_rows`; every test row is predicted.
     """
-    return two_level(
-        p.train.where("broad_group is not null"), p.test.where("broad_group is not null"),
-        "broad_group", "sub_issue_group", s, score="joint",
-    )
+    return two_level(p.train, p.test, "broad_group", "sub_issue_group", s, score="joint")
+
+
+def unlabelled_rows(train: DataFrame, test: DataFrame, level1: str = "broad_group") -> DataFrame:
+    """``(part, n_rows, n_left_out)``: rows without a level-1 label, which no fit uses."""
+    both = train.select(F.lit("train").alias("part"), level1).unionByName(
+        test.select(F.lit("test").alias("part"), level1))
+    return both.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(level1).isNull()).alias("n_left_out"))
 
 
 def issue_cascade(

@@ -8,26 +8,59 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+_RUN = f"casebook-{uuid.uuid4().hex}"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    ``spark.checkpoint.dir`` decides. A private folder is made only for a local
-    master that names none (tests); a cluster without the setting is an error.
+    ``spark.checkpoint.dir`` decides. Only a session whose executors are threads of this process
+    may leave it unset; a cluster without the setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="casebook-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this process stages its tables."""
+    return f"{shared_folder(spark).rstrip('/')}/{_RUN}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/casebook-{uuid.uuid4().hex}/{name}"
+    """A path below the shared folder that nothing else uses."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes below a path that Spark can read."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(place).getLength()
+
+
+def listing(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of what lies in a folder."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(
+        (f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(place)
+    )
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that this process has staged; frames that read them end here."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -42,12 +75,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the session has slots.
+    """Use all cores when the files behind ``df`` give fewer splits than the session has slots.
 
-    A large table has more splits than slots and is left alone: no shuffle.
+    The splits are told from the number and size of the files: no job runs. A large table has
+    more splits than slots and is left alone: no shuffle.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= slots:
+        return df
+    width = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    splits = sum(-(-_size(spark, f) // width) for f in files)
+    return df.repartition(slots) if splits < slots else df
 
 
 def bounded(df: DataFrame, limit: int = 100_000) -> DataFrame:
