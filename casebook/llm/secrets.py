@@ -25,7 +25,9 @@ SAMPLE_ROWS = 2_000  # texts that the fit may read
 SAMPLE_CHARS = 4_000  # characters of each of them, from a place chosen by hash
 DRAWN = 3_000  # random strings drawn for the random model
 RUN = 20  # characters of the shortest run that is scored
-MARGIN = 1.5  # mean log likelihood ratio of the characters of a random string
+MARGIN = 3.0  # mean log likelihood ratio of the characters of a random string
+DISTINCT = 8  # different characters that such a string has at least, unlike ruled lines
+LEAN = 20.0  # weight of a symbol's own share in each row of a chain
 
 # The patterns and least lengths of the base kinds.
 _ASSIGN = re.compile(
@@ -69,12 +71,16 @@ def _codes(text: str) -> np.ndarray:
 
 
 def chain(strings: Iterable[str]) -> np.ndarray:
-    """Log probabilities of each symbol after each other, with one added to every count."""
-    counts = np.ones((_SYMBOLS, _SYMBOLS))
+    """Log probabilities of each symbol after each other.
+
+    Pairs lean on the symbols' own shares, and these on one more of each.
+    """
+    counts = np.zeros((_SYMBOLS, _SYMBOLS))
     for text in strings:
         codes = np.concatenate([[_SYMBOLS - 1], _codes(text)])
         np.add.at(counts, (codes[:-1], codes[1:]), 1)
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    share = (counts.sum(axis=0) + 1) / (counts.sum() + _SYMBOLS)
+    return np.log((counts + LEAN * share) / (counts.sum(axis=1, keepdims=True) + LEAN))
 
 
 def drawn(n: int, seed: int = 7) -> list[str]:
@@ -126,7 +132,8 @@ def spans_of(text: str, model: np.ndarray, margin: float = MARGIN) -> list[tuple
     for m in _RUNS.finditer(text):
         if any(a < m.end() and m.start() < b for a, b, _ in spans):
             continue
-        if score(m.group(), model) >= margin:
+        run = m.group()
+        if len(set(run)) >= DISTINCT and score(run, model) >= margin:
             found.append((m.start(), m.end(), "markov"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
