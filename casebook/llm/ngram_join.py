@@ -5,19 +5,20 @@ order of all tokens. Several orders are used. In each, tokens come by how often
 filled in the corpus, rare ones first, then by hash; slots, counts and hashes differ from order to
 order, so an accidental meeting in one of them is unlikely in all.
 
-1. ``classes``: one pass hashes the n-grams. Documents with equal sets are one class; from here on
-   one document stands for each.
+1. ``profiles``: one pass hashes the n-grams. Documents with equal sets are one class; from here
+   on one document stands for each. A parity sketch is kept of every set: two sets differ in at
+   least as many tokens as their sketches in bits, so it can rule a pair out and never loses one.
 2. ``meetings``: a second pass sends the prefix tokens of the first order, packed, to buckets by
    token; a token that only one class holds is dropped there.
-3. ``candidate_sets``: a third pass keeps the sets of the classes that are left, their prefixes in
-   the other orders, and a parity sketch: two sets differ in at least as many tokens as their
-   sketches in bits, so a sketch can rule a pair out and never loses one.
-4. Within each token's list, classes meet a few hubs, not each other; pairs that pass length and
+3. Within each token's list, classes meet a few hubs, not each other; pairs that pass length and
    sketch are compared with the filters of the other orders and then exactly. Connected classes
-   become components. What is left are pairs of one list in different components: long lists are
-   cut into blocks that meet two by two, and only pairs that pass length and sketch leave a task.
-   A link inside a component that the hubs have already joined needs no comparison, as it can't
-   change the components. No list, candidate or partner is capped.
+   become components.
+4. What is left are pairs of one list in different components: long lists are cut into blocks that
+   meet two by two, and only pairs that pass length and sketch leave a task. A link inside a
+   component that the hubs have joined needs no comparison, as it can't change the components.
+
+Sets are read again from the texts, for the classes in such pairs only. No list, candidate or
+partner is capped.
 
 Words are runs of characters outside ``[\\x20\\x09-\\x0D]`` with A-Z folded. A text of fewer words
 than n has its whole sequence as its only n-gram; null and blank texts have the empty set, link
@@ -27,6 +28,7 @@ N-grams are 64-bit hashes. Repeated rows share a component. An empty table gives
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -44,9 +46,10 @@ SLOT_BITS = 20
 SLOT_BLOCK = 1 << 14
 BUCKET_TOKENS = 500_000
 SPLIT_COUNT = 50_000  # a token with a fuller slot may be split over sub-buckets
-SKETCH_WORDS = 8
+SKETCH_CELLS = 512
 HUBS = 3
 LIST_BLOCK = 1_024
+PAIRS_AT_ONCE = 100_000
 
 WORD = wordhash.byte_class((0x20, 0x20), (0x09, 0x0D))
 _PLACE = wordhash._numbers(64, 3) | np.uint64(1)
@@ -100,10 +103,46 @@ def prefix(grams: np.ndarray, order: int, counts: np.ndarray, percent: int) -> n
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Parities of the members in each of 512 cells."""
-    bits = np.bincount((grams >> np.uint64(7)).astype(np.int64) & (64 * SKETCH_WORDS - 1),
-                       minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    """Parities of the members in cells, about as many cells as members, 512 at least."""
+    cells = SKETCH_CELLS << max(0, (len(grams) - 1) // SKETCH_CELLS).bit_length()
+    place = ((grams >> np.uint64(7)) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=cells) & 1).astype(bool)).tobytes()
+
+
+class Sketches:
+    """Sketches of several widths; a wide one folds to half its width by XOR of its halves."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+        self.width = np.array([len(p) for p in packed], np.int64)
+        self._folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of this width and of its double, and where each row's is."""
+        if width not in self._folded:
+            place = np.full(len(self.packed), -1)
+            parts = []
+            for times in (1, 2):
+                rows = np.flatnonzero(self.width == width * times)
+                place[rows] = np.arange(len(rows)) + sum(map(len, parts))
+                data = np.frombuffer(b"".join([self.packed[r] for r in rows.tolist()]), np.uint64)
+                data = data.reshape(len(rows), times, width // 8)
+                parts.append(np.bitwise_xor.reduce(data, axis=1))
+            self._folded[width] = np.concatenate(parts), place
+        return self._folded[width]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of pairs of rows; 0 where the widths are too unlike to compare."""
+        bits = np.zeros(len(a), np.int64)
+        level = np.minimum(self.width[a], self.width[b])
+        for width in np.unique(level).tolist():
+            data, place = self._at(width)
+            own = np.flatnonzero((level == width) & (place[a] >= 0) & (place[b] >= 0))
+            for start in range(0, len(own), PAIRS_AT_ONCE):
+                part = own[start:start + PAIRS_AT_ONCE]
+                x = data[place[a[part]]] ^ data[place[b[part]]]
+                bits[part] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return bits
 
 
 def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -115,7 +154,7 @@ def most_different(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 _PROFILE = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()),
-    ("block", pa.int32()), ("counts", pa.binary()),
+    ("sketch", pa.binary()), ("block", pa.int32()), ("counts", pa.binary()),
 ])
 
 
@@ -130,10 +169,11 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int):
         waiting.clear()
 
     for batch in batches:
-        sizes, classes = [], []
+        sizes, classes, sketches = [], [], []
         for _, grams in sets_of(batch.column(1), n):
             sizes.append(len(grams))
             classes.append(class_of(grams) if len(grams) else None)
+            sketches.append(sketch(grams) if len(grams) else None)
             if len(grams):
                 waiting.append(grams)
                 held += len(grams)
@@ -143,7 +183,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int):
         none = [None] * len(sizes)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()),
-             pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=_PROFILE)
+             pa.array(sketches, pa.binary()), pa.array(none, pa.int32()),
+             pa.array(none, pa.binary())], schema=_PROFILE)
     if waiting:
         count()
     flat = slots.reshape(-1, SLOT_BLOCK)
@@ -152,7 +193,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int):
         none = [None] * len(used)
         yield pa.RecordBatch.from_arrays(
             [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
-             pa.array(used, pa.int32()),
+             pa.array(none, pa.binary()), pa.array(used, pa.int32()),
              pa.array([zlib.compress(flat[b].tobytes(), 1) for b in used], pa.binary())],
             schema=_PROFILE)
 
@@ -173,7 +214,7 @@ def _summed(batches: Iterator[pa.RecordBatch]):
 
 
 def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, n_shingles, class)`` of every row, and the slot counts of all orders.
+    """``(doc_id, n_shingles, class, sketch)`` of every row, and the slot counts of all orders.
 
     The counts are a table of fixed size; tasks send theirs in blocks, which are added up in
     two steps so that no task meets the blocks of all others.
@@ -181,7 +222,7 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     both = stage(
         docs.select("doc_id", "text").mapInArrow(
             lambda b: _profiles(b, n),
-            "doc_id long, n_shingles long, class long, block int, counts binary",
+            "doc_id long, n_shingles long, class long, sketch binary, block int, counts binary",
         ),
         "profiles",
     )
@@ -189,11 +230,12 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         "block", "counts", (F.spark_partition_id() % 64).alias("part"))
     summed = blocks.repartition("block", "part").select("block", "counts").mapInArrow(
         _summed, "block int, counts binary")
-    total = np.zeros((ORDERS << SLOT_BITS) // SLOT_BLOCK * SLOT_BLOCK, np.uint64).reshape(-1, SLOT_BLOCK)
+    total = np.zeros(((ORDERS << SLOT_BITS) // SLOT_BLOCK, SLOT_BLOCK), np.uint64)
     for row in summed.toLocalIterator():
         total[row["block"]] += np.frombuffer(row["counts"], np.uint32)
     counts = np.minimum(total, 0xFFFF).astype(np.uint16).reshape(ORDERS, -1)
-    return both.where("block is null").select("doc_id", "n_shingles", "class"), counts
+    return both.where("block is null").select(
+        "doc_id", "n_shingles", "class", "sketch"), counts
 
 
 # --- 2. tokens that several classes meet at ---------------------------------------------------
@@ -259,139 +301,159 @@ def meetings(docs: DataFrame, n: int, percent: int, counts, total: int) -> DataF
     return stage(shared, "meetings")
 
 
-# --- 3. sets of the classes that met ----------------------------------------------------------
-
-_SETS = pa.schema([
-    ("class", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("grams", pa.binary()),
-    ("orders", pa.list_(pa.binary())),
-])
+# --- 3. sets read again ------------------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int, counts):
+def _sets(batches: Iterator[pa.RecordBatch], n: int):
+    seen: set[int] = set()
     for batch in batches:
-        rows = []
+        rows = {}
         for _, grams in sets_of(batch.column(0), n):
-            others = [np.sort(prefix(grams, k, counts.value, percent)).tobytes() for k in range(1, ORDERS)]
-            rows.append((class_of(grams), len(grams), sketch(grams), grams.tobytes(), others))
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _SETS)], schema=_SETS)
+            own = class_of(grams)
+            if own not in seen:
+                seen.add(own)
+                rows[own] = grams.tobytes()
+        yield pa.RecordBatch.from_pydict({
+            "class": pa.array(list(rows), pa.int64()),
+            "grams": pa.array(list(rows.values()), pa.binary()),
+        })
 
 
-def candidate_sets(docs: DataFrame, known: DataFrame, met: DataFrame, n: int, percent: int, counts):
-    """The set of each class in ``met``, from the document with the smallest id."""
-    wanted = (
-        known.join(met.select("class").distinct(), "class")
-        .groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n"))
-        .select("doc_id")
-    )
-    wanted = stage(wanted.distinct(), "wanted")
+def sets_for(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """``(class, grams)`` for the classes of ``pairs``, each from the document of least id.
+
+    Rows that repeat an id may give a class once per task.
+    """
+    needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    wanted = known.join(needed, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    wanted = stage(wanted.select("doc_id").distinct(), "wanted")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     texts = texts.join(bounded(wanted, 2_000_000), "doc_id", "left_semi").select("text")
-    found = texts.mapInArrow(
-        lambda b: _sets(b, n, percent, counts),
-        "class long, n long, sketch binary, grams binary, orders array<binary>",
-    )
-    # Rows that repeat an id may give a class twice.
-    return stage(found, "sets")
+    return stage(texts.mapInArrow(lambda b: _sets(b, n), "class long, grams binary"), "sets")
 
 
 # --- 4. pairs, links, components --------------------------------------------------------------
 
 
-def _apart(a: pa.Array, b: pa.Array) -> np.ndarray:
-    width = 8 * SKETCH_WORDS
-    x = np.frombuffer(b"".join(a.to_pylist()), np.uint64).reshape(-1, width // 8)
-    y = np.frombuffer(b"".join(b.to_pylist()), np.uint64).reshape(-1, width // 8)
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-
-
 def _plausible(batches: Iterator[pa.RecordBatch], percent: int):
-    """Rows of ``(a, n_a, sketch_a, b, n_b, sketch_b)`` that length and sketch don't rule out."""
+    """Rows of ``(a, n_a, sketch_a, b, n_b, sketch_b)`` that the sketches don't rule out."""
     for batch in batches:
-        if not batch.num_rows:
+        m = batch.num_rows
+        if not m:
             continue
         a, b = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-        ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-        ok &= _apart(batch.column(2), batch.column(5)) <= most_different(a, b, percent)
-        kept = batch.filter(pa.array(ok))
+        both = Sketches(batch.column(2).to_pylist() + batch.column(5).to_pylist())
+        apart = both.apart(np.arange(m), np.arange(m, 2 * m))
+        kept = batch.filter(pa.array(apart <= most_different(a, b, percent)))
         yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3)], ["a", "b"])
 
 
-def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def hub_pairs(met: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Each class of a list with the hubs of the list: its least classes under a few hashes."""
-    row = F.struct("class", "n", "sketch")
-    hubs = lists.groupBy("token").agg(*[
-        F.min_by(row, F.xxhash64("class", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)
+    hubs = met.groupBy("token").agg(*[
+        F.min_by("class", F.xxhash64("class", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)
     ])
-    met = lists.join(hubs, "token").select(
-        "class", "n", "sketch", F.explode(F.array(*[f"hub{h}" for h in range(HUBS)])).alias("hub"))
-    pairs = met.where("class <> hub.class").select(
-        "class", "n", "sketch", F.col("hub.class").alias("b"), F.col("hub.n").alias("n_b"),
-        F.col("hub.sketch").alias("sketch_b"))
-    plausible = pairs.mapInArrow(lambda x: _plausible(x, percent), "a long, b long")
-    return plausible.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _left(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of one list block, or of two, in different components, not ruled out."""
-    home = table.column("home").to_numpy()
-    left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
-    ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
-    comp = table.column("comp").to_numpy()
-    cells = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64)
-    cells = cells.reshape(-1, SKETCH_WORDS)
-    rows, columns = np.flatnonzero(home == left), np.flatnonzero(home == right)
-    first, second = [], []
-    for i in rows.tolist():
-        others = columns[columns > i] if left == right else columns
-        ok = comp[others] != comp[i]
-        ok &= 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
-        others = others[ok]
-        if len(others):
-            apart = np.bitwise_count(cells[others] ^ cells[i]).sum(axis=1, dtype=np.int64)
-            others = others[apart <= most_different(n[others], n[i], percent)]
-            first.append(np.full(len(others), ids[i]))
-            second.append(ids[others])
-    none = np.zeros(0, np.int64)
-    return pa.table({
-        "a": pa.array(np.concatenate(first) if first else none, pa.int64()),
-        "b": pa.array(np.concatenate(second) if second else none, pa.int64()),
-    })
-
-
-def left_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    pairs = met.join(hubs, "token").select(
+        F.col("class").alias("a"), F.explode(F.array(*[f"hub{h}" for h in range(HUBS)])).alias("b"))
+    pairs = _ordered(pairs.where("a <> b"))
+    first = traits.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    second = traits.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = pairs.join(first, "a").join(second, "b").where(fit)
+    return both.select("a", "n_a", "s_a", "b", "n_b", "s_b").mapInArrow(
+        lambda rows: _plausible(rows, percent), "a long, b long")
+
+
+def _left(batches: Iterator[pa.RecordBatch], percent: int):
+    """Pairs of one list block, or of two, in different components, not ruled out.
+
+    The rows come in order of their list and blocks; a group that a batch cuts is carried over.
+    """
+    carried = None
+    for batch in itertools.chain(batches, [None]):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if carried is not None:
+            table = carried if table is None else pa.concat_tables([carried, table])
+        if table is None or not table.num_rows:
+            continue
+        keys = [table.column(c).to_numpy() for c in ("token", "left", "right")]
+        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        firsts = np.flatnonzero(new)
+        stop = table.num_rows if batch is None else int(firsts[-1])
+        carried = table.slice(stop) if batch is not None else None
+        if not stop:
+            continue
+        ends = np.append(firsts, table.num_rows)
+        ends = ends[ends <= stop]
+        end = np.repeat(ends[1:], np.diff(ends))
+        ids, n = table.column("class").to_numpy(), table.column("n").to_numpy()
+        comp, home = table.column("comp").to_numpy(), table.column("home").to_numpy()
+        two = keys[1] != keys[2]
+        sketches = Sketches(table.column("sketch").to_pylist())
+        partners = end - np.arange(stop) - 1
+        upto = np.cumsum(partners)
+        row = 0
+        found = []
+        while row < stop:
+            base = upto[row] - partners[row]
+            until = max(row + 1, int(np.searchsorted(upto, base + 10 * PAIRS_AT_ONCE, "right")))
+            counts = partners[row:until]
+            a = np.repeat(np.arange(row, until), counts)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+            ok = (comp[a] != comp[b]) & (~two[a] | (home[a] != home[b]))
+            ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            ok = sketches.apart(a, b) <= most_different(n[a], n[b], percent)
+            a, b = ids[a[ok]], ids[b[ok]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            row = until
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def left_pairs(met: DataFrame, labels: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that are in different components so far and not ruled out."""
-    named = lists.join(labels, lists["class"] == labels["node"], "left").select(
-        "token", "class", "n", "sketch", F.coalesce("label", "class").alias("comp"))
+    named = met.join(labels, met["class"] == labels["node"], "left").select(
+        "token", "class", F.coalesce("label", "class").alias("comp"))
     open_ = named.groupBy("token").agg(
         F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
     ).where("low <> high").select("token", F.ceil(F.col("size") / LIST_BLOCK).cast("int").alias("parts"))
-    placed = named.join(open_, "token").withColumn(
+    placed = named.join(open_, "token").join(traits, "class").withColumn(
         "home", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    met = placed.select("token", "class", "n", "sketch", "comp", "home", other).select(
+    met_ = placed.select("token", "class", "n", "sketch", "comp", "home", other).select(
         "token", "class", "n", "sketch", "comp", "home",
         F.least("home", "other").alias("left"), F.greatest("home", "other").alias("right"))
-    pairs = met.groupBy("token", "left", "right").applyInArrow(
-        lambda table: _left(table, percent), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keys = ["token", "left", "right"]
+    dealt = met_.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda rows: _left(rows, percent), "a long, b long").distinct()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
-    if len(x) > len(y):
-        x, y = y, x
+    """How many of ``x`` are in the sorted ``y``."""
     at = np.searchsorted(y, x)
     at[at == len(y)] = 0
     return int((y[at] == x).sum())
 
 
-def _verified(batches: Iterator[pa.RecordBatch], percent: int):
+def _verified(batches: Iterator[pa.RecordBatch], percent: int, counts):
+    def shares(x, y):
+        return all(
+            _common(prefix(x, k, counts.value, percent), np.sort(prefix(y, k, counts.value, percent)))
+            for k in range(1, ORDERS)
+        )
+
     for batch in batches:
         links = []
-        for a, b, x, y, p, q in zip(*[batch.column(i).to_pylist() for i in range(6)]):
-            if all(_common(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(p, q)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for a, b, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            if shares(x, y):
                 both = _common(x, y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     links.append((a, b))
@@ -401,12 +463,12 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int):
         })
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def links(pairs: DataFrame, sets: DataFrame, percent: int, counts, name: str) -> DataFrame:
     """The pairs that share prefix tokens in every other order and reach the similarity."""
-    x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"), F.col("orders").alias("p"))
-    y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"), F.col("orders").alias("q"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "p", "q")
-    return stage(both.mapInArrow(lambda rows: _verified(rows, percent), "a long, b long"), name)
+    x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return stage(both.mapInArrow(lambda rows: _verified(rows, percent, counts), "a long, b long"), name)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -449,13 +511,16 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     counts = spark.sparkContext.broadcast(slots)
     total = known.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     met = meetings(docs, n, percent, counts, total)
-    sets = candidate_sets(docs, known, met, n, percent, counts)
-    traits = sets.select("class", "n", "sketch").dropDuplicates(["class"])
-    lists = stage(met.join(traits, "class"), "lists")
-    one_each = sets.dropDuplicates(["class"])
-    first = links(hub_pairs(lists, percent), one_each, percent, "hub_links")
+    traits = known.where("class is not null").groupBy("class").agg(
+        F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+
+    def linked(pairs, name):
+        pairs = stage(pairs, f"{name}_pairs")
+        return links(pairs, sets_for(docs, known, pairs, n), percent, counts, f"{name}_links")
+
+    first = linked(hub_pairs(met, traits, percent), "hub")
     labels = components(first)
-    second = links(left_pairs(lists, labels, percent), one_each, percent, "left_links")
+    second = linked(left_pairs(met, labels, traits, percent), "left")
     labels = components(first.union(second))
     named = known.join(labels, known["class"] == labels["node"], "left").select(
         "doc_id", "n_shingles", "class", F.coalesce("label", "class").alias("label"))
