@@ -11,9 +11,10 @@ partitioned by hash; a table partition adds up what all segments sent and answer
 with the totals of its grams. A gram is one entry per segment however often it occurs, so frequent
 grams make no large group. Segments then look their documents' grams up and sum by document.
 
-Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z folded; grams are 64-bit hashes, of which the
-tables compare 48 bits and the partition. Null and blank texts have no words and score 0. Repeated
-rows each count as documents of their own. An empty table gives no rows.
+Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z folded. Words are told apart by 48-bit
+hashes, longer grams by 64-bit ones, of which the tables compare 48 bits and the partition. Null
+and blank texts have no words and score 0. Repeated rows each count as documents of their own. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from casebook.sources.staging import stage
 
 ORDER = 2
 BACKOFF = 0.4
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 TABLE_ENTRIES = 1_000_000
 
 WORD = wordhash.byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -42,12 +43,30 @@ _SEGMENT = pa.schema([
 ])
 
 
+_LOW = np.uint64((1 << 48) - 1)
+
+
 def _packed(numbers: np.ndarray) -> bytes:
-    return zlib.compress(numbers.astype(np.uint32).tobytes(), 1)
+    """32-bit numbers, compressed byte place by byte place."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint32).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T
+    return np.ascontiguousarray(planes).view("<u4")[:, 0].astype(np.int64)
+
+
+def _low_bytes(hashes: np.ndarray) -> bytes:
+    """The six low bytes of each 64-bit hash."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_low_bytes(data: bytes) -> np.ndarray:
+    low = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, :6] = low
+    return wide.view(np.uint64)[:, 0]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]):
@@ -57,13 +76,13 @@ def _segments(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         blocks = wordhash.blocks(batch.column(1), WORD, SEGMENT_BYTES)
         for first, end, hashes, counts in blocks:
-            vocabulary, words = np.unique(hashes, return_inverse=True)
+            vocabulary, words = np.unique(hashes & _LOW, return_inverse=True)
             yield pa.RecordBatch.from_pydict({
                 "segment": [number],
                 "doc_ids": [batch.column(0).slice(first, end - first).to_pylist()],
                 "n_words": [counts.tolist()],
                 "total": [len(hashes)],
-                "vocabulary": [vocabulary.tobytes()],
+                "vocabulary": [_low_bytes(vocabulary)],
                 "words": [_packed(words)],
             }, schema=_SEGMENT)
             number += 1
@@ -83,7 +102,8 @@ def grams(hashes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarra
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+    # Mixed again, so that the tables split words evenly by their high bits.
+    vocabulary = wordhash.mixed(_from_low_bytes(row["vocabulary"]))
     return vocabulary[_unpacked(row["words"])], np.array(row["n_words"], np.int64)
 
 
@@ -106,12 +126,12 @@ def _entries(batches: Iterator[pa.RecordBatch], order: int, tables: int):
                 values, own = _distinct(hashes, counts, k)
                 ends = [0, *_table_of(values, tables).tolist(), len(values)]
                 used = [t for t in range(tables) if ends[t + 1] > ends[t]]
-                low = values.view(np.uint8).reshape(-1, 8)[:, :6]
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array([row["segment"]] * len(used), pa.int64()),
                     "order": pa.array([k] * len(used), pa.int32()),
                     "table": pa.array(used, pa.int32()),
-                    "grams": pa.array([low[ends[t]:ends[t + 1]].tobytes() for t in used], pa.binary()),
+                    "grams": pa.array(
+                        [_low_bytes(values[ends[t]:ends[t + 1]]) for t in used], pa.binary()),
                     "counts": pa.array([_packed(own[ends[t]:ends[t + 1]]) for t in used], pa.binary()),
                 })
 
@@ -119,12 +139,9 @@ def _entries(batches: Iterator[pa.RecordBatch], order: int, tables: int):
 def _totals(table: pa.Table) -> pa.Table:
     sizes, values, counts = [], [], []
     for packed, own in zip(table.column("grams").to_pylist(), table.column("counts").to_pylist()):
-        low = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        values.append(wide.view(np.uint64)[:, 0])
+        values.append(_from_low_bytes(packed))
         counts.append(_unpacked(own))
-        sizes.append(len(low))
+        sizes.append(len(values[-1]))
     _, place = np.unique(np.concatenate(values), return_inverse=True)
     totals = np.bincount(place, weights=np.concatenate(counts))[place]
     ends = np.cumsum(sizes)
