@@ -47,7 +47,7 @@ SLOT_BLOCK = 1 << 14
 BUCKET_TOKENS = 500_000
 SPLIT_COUNT = 50_000  # a token with a fuller slot may be split over sub-buckets
 SKETCH_CELLS = 512
-HUBS = 3
+HUBS = 12
 LIST_BLOCK = 1_024
 PAIRS_AT_ONCE = 100_000
 
@@ -177,7 +177,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], n: int):
             if len(grams):
                 waiting.append(grams)
                 held += len(grams)
-                if held > 1 << 22:
+                if held > 1 << 20:
                     count()
                     held = 0
         none = [None] * len(sizes)
@@ -358,7 +358,8 @@ def hub_pairs(met: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
         F.min_by("class", F.xxhash64("class", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)
     ])
     pairs = met.join(hubs, "token").select(
-        F.col("class").alias("a"), F.explode(F.array(*[f"hub{h}" for h in range(HUBS)])).alias("b"))
+        F.col("class").alias("a"),
+        F.explode(F.array_distinct(F.array(*[f"hub{h}" for h in range(HUBS)]))).alias("b"))
     pairs = _ordered(pairs.where("a <> b"))
     first = traits.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     second = traits.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
@@ -448,9 +449,14 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int, counts):
         )
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         links = []
-        for a, b, x, y in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        (left, at_left), (right, at_right) = [wordhash.cells(batch.column(i)) for i in (2, 3)]
+        ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for i, (a, b) in enumerate(ids):
+            x = left[at_left[i]:at_left[i + 1]].view(np.uint64)
+            y = right[at_right[i]:at_right[i + 1]].view(np.uint64)
             if len(x) > len(y):
                 x, y = y, x
             if shares(x, y):

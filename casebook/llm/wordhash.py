@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -43,15 +43,23 @@ _BYTES[65:91] = _BYTES[97:123]
 _PLACES = _numbers(1 << 12, 2) | np.uint64(1)
 
 
-def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column and the offsets of its rows in them."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+def cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes behind a column of strings or binaries and the offsets of its rows, uncopied."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    places = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    places = np.frombuffer(offsets, np.int64 if wide else np.int32)
+    places = places[column.offset:column.offset + len(column) + 1].astype(np.int64)
     bytes_ = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return bytes_, places
 
 
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column and the offsets of its rows in them; null is empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    return cells(pc.fill_null(column, "") if column.null_count else column)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
     """Hashes of all words in order, and the number of words of each row."""
     low, high = int(offsets[0]), int(offsets[-1])
