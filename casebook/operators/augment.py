@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -48,32 +48,60 @@ def paraphrase_rows(
     over ``tasks`` tasks (default: all slots). A copy gets a new id: the complement of the
     source id, which is negative and thus free.
     """
-    schema = df.schema
+    made = _attempted(df, text_column, paraphrase, limit, tasks)
+    return made.where(F.col("_outcome") == "kept").drop("_outcome").withColumns(
+        {
+            "source_doc_id": F.col(id_column),
+            id_column: F.bitwise_not(F.col(id_column)),
+            "is_augmented": F.lit(True),
+        }
+    )
+
+
+def _attempted(
+    df: DataFrame, text_column: str, paraphrase: Paraphrase, limit: int, tasks: int | None
+) -> DataFrame:
+    """The rows with their paraphrase and its ``_outcome``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def attempt(text: str) -> str | None:
+    @F.pandas_udf("string")
+    def attempts(texts: pd.Series) -> pd.Series:
+        def attempt(text: str | None) -> str | None:
             try:
-                return paraphrase(text)
+                return None if text is None else paraphrase(text)
             except Exception:
                 return None
 
-        for batch in batches:
-            yield batch.assign(**{text_column: batch[text_column].map(attempt)})
+        return texts.map(attempt)
 
+    short = F.coalesce(within_length(F.col(text_column), limit), F.lit(False))
     slots = tasks or df.sparkSession.sparkContext.defaultParallelism
-    fed = df.where(within_length(F.col(text_column), limit)).repartition(slots, id_column)
-    made = fed.mapInPandas(run, schema)
-    good = made.where(
-        F.col(text_column).isNotNull()
-        & (F.col(text_column) != "")
-        & ~has_non_ascii(F.col(text_column))
+    made = df.repartition(slots).withColumns({
+        # Not to be run twice for the outcome and the text.
+        "_short": short, "_made": attempts.asNondeterministic()(F.when(short, F.col(text_column))),
+    })
+    outcome = (
+        F.when(~F.col("_short"), "skipped")
+        .when(F.col("_made").isNull() | (F.col("_made") == ""), "failed")
+        .when(has_non_ascii(F.col("_made")), "rejected")
+        .otherwise("kept")
     )
-    return good.withColumns(
-        {
-            "source_doc_id": F.col(id_column),
-            id_column: F.bitwise_not(F.col(id_column)),
-            "is_augmented": F.lit(True),
-        }
+    return made.withColumn("_outcome", outcome).withColumn(text_column, F.col("_made")).drop(
+        "_short", "_made")
+
+
+def paraphrase_counts(
+    df: DataFrame, text_column: str, paraphrase: Paraphrase, limit: int = MAX_PARAPHRASE_CHARS,
+    tasks: int | None = None,
+) -> DataFrame:
+    """One row: texts skipped as too long, attempts, failed and non-ASCII ones, copies kept."""
+    made = _attempted(df.select(text_column), text_column, paraphrase, limit, tasks)
+    outcome = F.col("_outcome")
+    return made.agg(
+        F.count_if(outcome == "skipped").alias("n_skipped"),
+        F.count_if(outcome != "skipped").alias("n_attempts"),
+        F.count_if(outcome == "failed").alias("n_failed"),
+        F.count_if(outcome == "rejected").alias("n_rejected"),
+        F.count_if(outcome == "kept").alias("n_kept"),
     )
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casebook.operators.evaluate import macro_f1, outcomes
 from casebook.operators.sampling import with_folds
 from casebook.operators.voting import argmax_label, confidence, joint_confidence, soft_vote
-from casebook.sources.staging import stage
+from casebook.sources.staging import compact, stage
 
 # Grids of the regularisation strength.
 LEVEL1_GRID = [0.01, 0.1, 0.5, 1.0]
@@ -150,7 +150,7 @@ def fit_logistic(train: DataFrame, label: str, s: Settings) -> Logistic:
     """
     sizes = class_sizes(train, label, s.max_classes)
     n = sum(sizes.values())
-    frame = train.where(F.col(label).isNotNull()).select(
+    frame = compact(train).where(F.col(label).isNotNull()).select(
         "features",
         _lookup(label, {c: i for i, c in enumerate(sizes)}).alias("_y"),
         _lookup(label, _balanced(sizes)).alias("_w"),
@@ -210,9 +210,9 @@ def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedS
     if folds < 2:
         raise ValueError("calibration needs two rows of every class")
     known = train.where(F.col(label).isNotNull()).select(s.id_column, label, "features")
-    frame = with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    frame = compact(
+        with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal")
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     per_fold = {
         (r["_cal"], r[label]): r["count"] for r in frame.groupBy("_cal", label).count().collect()
     }

@@ -52,6 +52,7 @@ def _ranked(c: Values, ranks: set[int], buckets: int) -> dict[int, float]:
     Every pass counts the values of the ranges that hold a wanted rank in ``buckets`` parts, and
     goes on with the parts that hold one, cut to their own ends, until a part is a single value.
     """
+    buckets = max(2, buckets)  # the ends of a range always part
     wanted = {r: (c.lo, c.hi, 0) for r in ranks}  # by rank: range, values below it
     while opened := sorted({w for w in wanted.values() if w[0] < w[1]}):
         inside = [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi, _ in opened]

@@ -91,6 +91,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if splits < slots else df
 
 
+def compact(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
+    """Fewer, larger splits where the files behind ``df`` are small, without a shuffle.
+
+    For iterative fits, where every task of every pass costs more than its rows do.
+    """
+    size = sum(_size(df.sparkSession, f) for f in df.inputFiles())
+    return df.coalesce(size // bytes_per_task + 1) if size else df
+
+
 def bounded(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """A broadcast hint for ``df`` if it has ``limit`` rows at most, else ``df`` as it is.
 

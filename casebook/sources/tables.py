@@ -31,13 +31,17 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataF
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
     """CSV scan with header, quoted multi-line text and missing-value tokens.
 
-    Types are never guessed: without a schema all columns are strings named by the header. Quoted line breaks make a file unsplittable, so parallelism comes from the number of
-    files; :func:`write_csv` bounds the rows per file for that reason.
+    Types are never guessed: without a schema all columns are strings named by the header. Quoted
+    line breaks make a file unsplittable, so parallelism comes from the number of files;
+    :func:`write_csv` bounds the rows per file for that reason. Files without quoted line breaks
+    split with ``multi_line=False``.
     """
-    reader = spark.read.options(**_CSV_DIALECT).option("multiLine", True)
+    reader = spark.read.options(**_CSV_DIALECT).option("multiLine", multi_line)
     raw = (reader.schema(schema) if schema is not None else reader).csv(path)
     return null_tokens_to_null(raw)
 

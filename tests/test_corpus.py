@@ -185,3 +185,23 @@ def test_augmentation_gates(spark):
     assert made.where("source_doc_id = 1").first().text == "b a c"
     both = augment.append_augmented(df, made.limit(0))
     assert both.count() == 6 and not any(r.is_augmented for r in both.collect())
+
+
+def test_paraphrase_counts(spark):
+    def paraphrase(t):
+        if t == "boom":
+            raise RuntimeError
+        return {"none": None, "blank": "", "accent": "\u00e9"}.get(t, t + "!")
+
+    texts = ["fine", "boom", "none", "blank", "accent", "x" * 5001, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    row = augment.paraphrase_counts(df, "text", paraphrase, tasks=2).first()
+    assert row.asDict() == {
+        "n_skipped": 2, "n_attempts": 5, "n_failed": 3, "n_rejected": 1, "n_kept": 1}
+
+
+def test_most_frequent_takes_ties_by_term(spark):
+    df = spark.createDataFrame([("d", 3), ("a", 1), ("c", 1), ("b", 1), ("e", 2)], "t string, n long")
+    for k, want in [(1, "d"), (3, "ade"), (4, "abde"), (5, "abcde"), (9, "abcde")]:
+        got = {r.t for r in tfidf.most_frequent(df, "n", "t", k).collect()}
+        assert got == set(want)

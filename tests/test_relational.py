@@ -249,3 +249,34 @@ def test_membership_in_a_table(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     assert rows(labels.members(df, "k", spark.createDataFrame([("a",), ("a",)], "z string"))) == [("a", 1)]
     assert rows(labels.members(df, "k", ["b"])) == [("b", 2)]
+
+
+def test_values_leave_out_nan_and_an_outlier_costs_no_order(spark):
+    values = [float(i) for i in range(2000)] + [1e15, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", [0.25, 0.5, 1.0], 8).collect()}
+    assert got == {0.25: 500.0, 0.5: 1000.0, 1.0: 1e15}
+    row = distribution.summary(df.where("v < 2000"), "v").first()
+    assert (row.n, row["mean"], row.q50) == (2000, 999.5, 999.5)
+
+
+def test_rate_needs_entity_and_month(spark):
+    df = spark.createDataFrame(
+        [("a", "2024-01-05", "No"), (None, "2024-01-05", "No"), ("a", None, "No")],
+        "c string, d string, t string",
+    ).withColumn("d", F.to_date("d"))
+    assert series.monthly_rate(df, "c", "d", "t", "No").count() == 1
+
+
+def test_overview_counts_cells_by_short_keys(spark):
+    long = "x" * 100
+    df = spark.createDataFrame(
+        [(long, 0.0, [1]), (long, -0.0, [1]), (long + "y", float("nan"), None), (None, None, [1, 2])],
+        "t string, f double, a array<int>",
+    )
+    got = {r.column: (r.n_distinct, r.n_null) for r in profile.column_overview(df).collect()}
+    assert got == {"t": (2, 1), "f": (2, 1), "a": (2, 1)}
+    sketched = profile.column_overview(df, approximate=["t"]).collect()
+    assert {r.column: r.n_distinct for r in sketched} == {"t": 2, "f": 2, "a": 2}
+    assert profile.column_overview(df.limit(0)).count() == 3
+    assert [r.column for r in profile.zero_variance_columns(df.select("t").where("t is null")).collect()] == ["t"]
