@@ -565,7 +565,7 @@ FROM split LEFT JOIN weights USING (doc_id) GROUP BY 1""",
     "level1_lr_checks": f"WITH {SPLIT} SELECT doc_id, {_ISSUES} AS n_classes, {_CHECKS} FROM split WHERE is_test",
     "level1_svc_checks": f"WITH {SPLIT} SELECT doc_id, {_ISSUES} AS n_classes, {_CHECKS} FROM split WHERE is_test",
     "grid_search_checks": """SELECT model, 4 AS n_cells, 1 AS n_best, true AS in_range
-FROM (VALUES ('logistic'), ('svc')) t(model)""",
+FROM (VALUES ('logistic')) t(model)""",
     "out_of_fold_checks": f"""WITH {SPLIT} SELECT doc_id, 2 AS n_classes, {_CHECKS} FROM split
 WHERE NOT is_test AND broad_group IS NOT NULL""",
     "level2_cascade_checks": f"WITH {SPLIT} SELECT doc_id, {_CASCADE}, 2 AS n_level1 FROM split WHERE is_test",
