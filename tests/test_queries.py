@@ -1,5 +1,7 @@
 """Every query with SQL against DuckDB, at the smallest scale."""
 
+import os
+
 import pytest
 from compare import connect, difference
 
@@ -8,12 +10,19 @@ from casebook.plans.catalog import QUERIES
 from casebook.plans.oracle import SQL
 
 
+# Full training takes minutes; TEST_SLOW=1 runs these too. test_models has the same checks.
+SLOW = {
+    "level1_svc_checks", "out_of_fold_checks", "level2_cascade_checks", "cascade_sweep_checks",
+    "issue_cascade_checks", "grid_search_checks", "small_class_fallback",
+}
+
+
 @pytest.fixture(scope="module")
 def con(folder):
     return connect(folder)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - (set() if os.environ.get("TEST_SLOW") else SLOW)))
 def test_query(spark, folder, con, name):
     assert difference(spark, con, folder, QUERIES[name], SQL[name]) is None
 
