@@ -12,7 +12,7 @@ import struct
 from functools import lru_cache
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 
 # Characters whose lower case, composition and class are the same in every Unicode version.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ÿŒœ]")
