@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casebook.llm.encoder import packed_ids, tokenizer_path
+from casebook.sources.staging import stage
 
 BLOCK = 4096
 
@@ -42,8 +43,10 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
     ``docs_from`` and ``tokens_from`` count lengths >= n_tokens; ``truncated_tokens`` is the
     total when every document is cut at n_tokens; ``docs_upto`` is the rank that quantiles use.
-    Sums run within blocks of lengths; block totals carry the rest.
+    Sums run within blocks of lengths; block totals carry the rest. The histogram is staged, so
+    the texts are encoded once.
     """
+    histogram = stage(histogram, "histogram")
     rows = histogram.withColumns({
         "_block": F.floor(F.col("n_tokens") / BLOCK),
         "_tokens": F.col("n_tokens") * F.col("n_docs"),
