@@ -8,8 +8,9 @@ document out. Grams do not cross documents.
 Segments of whole documents are written with their words as numbers of a local vocabulary. Each
 segment sends the distinct grams it holds, with its own counts, to the count tables, which are
 partitioned by hash; a table partition adds up what all segments sent and answers each of them
-with the totals of its grams. A gram is one entry per segment however often it occurs, so frequent
-grams make no large group. Segments then look their documents' grams up and sum by document.
+with what the other segments hold of its grams; where they hold none of a stretch, it sends nothing.
+A gram is one entry per segment however often it occurs, so frequent grams make no large group.
+Segments then look their documents' grams up and sum by document.
 
 Words are runs outside ``[\\x20\\x09-\\x0D]`` with A-Z folded. Words are told apart by 48-bit
 hashes, longer grams by 64-bit ones, of which the tables compare 48 bits and the partition. Null
@@ -143,30 +144,34 @@ def _totals(table: pa.Table) -> pa.Table:
         counts.append(_unpacked(own))
         sizes.append(len(values[-1]))
     _, place = np.unique(np.concatenate(values), return_inverse=True)
-    totals = np.bincount(place, weights=np.concatenate(counts))[place]
+    own = np.concatenate(counts)
+    elsewhere = np.bincount(place, weights=own)[place] - own
     ends = np.cumsum(sizes)
+    used = [i for i, (s, e) in enumerate(zip(sizes, ends)) if elsewhere[e - s:e].any()]
     return pa.table({
-        "segment": table.column("segment"),
-        "order": table.column("order"),
-        "table": table.column("table"),
-        "totals": pa.array([_packed(totals[e - s:e]) for s, e in zip(sizes, ends)], pa.binary()),
+        **{name: table.column(name).take(pa.array(used, pa.int64()))
+           for name in ("segment", "order", "table")},
+        "elsewhere": pa.array(
+            [_packed(elsewhere[ends[i] - sizes[i]:ends[i]]) for i in used], pa.binary()),
     })
 
 
-def _scores(row: dict, answers: list[dict], order: int, everything: int):
+def _scores(row: dict, answers: list[dict], order: int, everything: int, tables: int):
     hashes, counts = _opened(row)
     rows = np.repeat(np.arange(len(counts)), counts)
     others = np.zeros((order + 1, len(hashes)))  # by length of the gram: count in other documents
     others[0] = everything - counts[rows]
     for k in range(1, order + 1):
         found, inside = grams(hashes, counts, k)
-        own_rows = [a for a in answers if a["order"] == k]
-        own_rows.sort(key=lambda a: a["table"])
-        values, place = np.unique(found[inside], return_inverse=True)
+        values, place, totals = np.unique(
+            found[inside], return_inverse=True, return_counts=True)
         if not len(values):
             continue
-        totals = np.concatenate([_unpacked(a["totals"]) for a in own_rows])
-        assert len(totals) == len(values)
+        ends = [0, *_table_of(values, tables).tolist(), len(values)]
+        for answer in answers:
+            if answer["order"] == k:
+                t = answer["table"]
+                totals[ends[t]:ends[t + 1]] += _unpacked(answer["elsewhere"])
         _, mine, own = np.unique(
             rows[inside] * len(values) + place, return_inverse=True, return_counts=True)
         others[k, inside] = totals[place] - own[mine]
@@ -206,10 +211,10 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         "segment long, order int, table int, grams binary, counts binary",
     )
     answers = entries.groupBy("order", "table").applyInArrow(
-        _totals, "segment long, order int, table int, totals binary")
+        _totals, "segment long, order int, table int, elsewhere binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.table(_scores(left.to_pylist()[0], right.to_pylist(), order, everything))
+        return pa.table(_scores(left.to_pylist()[0], right.to_pylist(), order, everything, tables))
 
     return segments.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(
         scored, "doc_id long, n_words long, n_backed_off long, n_unseen long, log_score double")

@@ -13,6 +13,9 @@ from casebook.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Beside QUERIES, which holds one query for each number.
+MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+MORE_SQL: dict[str, str] = {}
 
 
 def query(function):
@@ -228,7 +231,8 @@ SQL["op9_lm_scoring"] = r"""
 WITH folded AS (
     SELECT doc_id, coalesce(regexp_extract_all(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^ 	-]+'), []) AS words
+        '[^ 	-
+]+'), []) AS words
     FROM documents
 ),
 places AS (
@@ -263,6 +267,54 @@ FROM documents LEFT JOIN scored USING (doc_id)
 """
 
 
+def op9_lm_scoring_order3(spark, folder):
+    scored = lm_score.score(_documents(spark, folder), order=3)
+    return scored.withColumn("log_score", F.round("log_score", 4))
+
+
+MORE_QUERIES["op9_lm_scoring_order3"] = op9_lm_scoring_order3
+MORE_SQL["op9_lm_scoring_order3"] = r"""
+WITH folded AS (
+    SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+'), []) AS words
+    FROM documents
+),
+places AS (
+    SELECT doc_id, unnest(words) AS w1, unnest(range(len(words))) AS i FROM folded
+),
+grams AS (
+    SELECT *, lag(w1) OVER w AS w2, lag(w1, 2) OVER w AS w3
+    FROM places WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+counted AS (
+    SELECT *, count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY doc_id, w1) AS c1,
+        count(*) OVER (PARTITION BY w2, w1) - count(*) OVER (PARTITION BY doc_id, w2, w1) AS c2,
+        count(*) OVER (PARTITION BY w3, w2, w1)
+            - count(*) OVER (PARTITION BY doc_id, w3, w2, w1) AS c3,
+        (SELECT count(*) FROM places) - count(*) OVER (PARTITION BY doc_id) AS n
+    FROM grams
+),
+with_contexts AS (
+    SELECT *, lag(c1) OVER w AS before1, lag(c2) OVER w AS before2
+    FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+scored AS (
+    SELECT doc_id, count(*) AS n_words,
+        count(*) FILTER (CASE WHEN i > 1 THEN c3 = 0 ELSE i = 1 AND c2 = 0 END) AS n_backed_off,
+        count(*) FILTER (c1 = 0) AS n_unseen,
+        sum(CASE WHEN i > 1 AND c3 > 0 THEN ln(c3 / before2)
+            WHEN i > 0 AND c2 > 0 THEN ln(c2 / before1) + ln(0.4) * (least(i, 2) - 1)
+            ELSE ln(greatest(c1, 0.5) / greatest(n, 1)) + ln(0.4) * least(i, 2)
+            END) AS log_score
+    FROM with_contexts GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
+    coalesce(n_unseen, 0) AS n_unseen, round(coalesce(log_score, 0), 4) AS log_score
+FROM documents LEFT JOIN scored USING (doc_id)
+"""
+
+
 @query
 def op10_ngram_join(spark, folder):
     return ngram_join.similar(_documents(spark, folder)).select(
