@@ -9,7 +9,8 @@ places of a term that holds a third of all words stay in their segments.
 
 Words are runs of ``[0-9a-z]`` and of characters from U+0080 on, after folding A-Z. Null and empty
 texts have no words and no matches. Terms are 64-bit word hashes. Items without words are never
-found; repeated items and rows each count. Duplicate and null document ids do no harm: rows are
+found; an item id counts once for a document, however many rows of the benchmark bear it. Repeated
+rows of documents each count. Duplicate and null document ids do no harm: rows are
 told apart by segment and place. An empty table gives no rows.
 """
 
@@ -192,6 +193,7 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases):
                 )
                 for row, owner in pairs.tolist():
                     items[row].append(phrases.ids[owner])
+                items = [list(dict.fromkeys(own)) for own in items]
             yield pa.RecordBatch.from_pydict({
                 "segment": [stored["segment"]] * len(n_words),
                 "row": list(range(len(n_words))),

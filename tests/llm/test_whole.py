@@ -1,11 +1,30 @@
 """Places where an operator once did less than its whole job."""
 
+import hashlib
+
+import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from casebook.llm import phrase_index
 
 
 def test_order_three_is_registered(spark, folder):
     name = "op9_lm_scoring_order3"
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
     assert difference(spark, connect(folder), folder, query, sql) is None
+
+
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_repeated_item_ids_count_once(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(phrase_index, "ITEMS_PER_BLOCK", block)
+    benchmark = spark.createDataFrame(
+        [("a", "red blue"), ("a", "red blue"), ("a", "green"), ("b", "green")],
+        "item_id string, text string")
+    rows = documents([(1, "red blue green"), (2, "red blue"), (3, "none")])
+    found = {r["doc_id"]: r for r in phrase_index.contamination(
+        phrase_index.matches(rows, benchmark)).collect()}
+    assert [found[i]["n_items"] for i in (1, 2, 3)] == [2, 1, 0]
+    assert [found[i]["n_hit"] for i in (1, 2, 3)] == [3, 2, 0]
+    assert found[1]["items_sha256"] == hashlib.sha256(b"a,b").hexdigest()
+    assert found[2]["items_sha256"] == hashlib.sha256(b"a").hexdigest()
