@@ -4,12 +4,12 @@ Every filtering stage returns the columns of ``documents`` for the rows that it
 
 1. language ID drops texts without a letter and texts that no language is likely for;
 2. exact dedup keeps one row of each group of equal texts;
-3. n-gram join keeps the smallest id of each component of similar texts;
+3. n-gram join keeps one row, of the smallest id, of each component of similar texts;
 4. decontamination drops documents that hold benchmark passages by the twentieth-of-words rule;
 5. packing returns the pieces of the token sequences.
 
-Decisions are joined back by document id, and by the digest of the normalised text where rows may
-share an id. Of rows that repeat an id and a text, one stays. Rows without an id are judged by their
+Decisions are joined back by document id and text, as rows may share an id: by the digest of the
+normalised text after exact dedup, by a 64-bit hash of id and text in the next two stages. Of rows that repeat an id and a text, one stays. Rows without an id are judged by their
 language and text alone. Extra columns are carried along, whatever their names.
 """
 
@@ -70,17 +70,31 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(ones.select("row.*"))
 
 
+def _key() -> F.Column:
+    """Tells rows of one id apart by their texts; null without an id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.similar(docs.select("doc_id", "text"))
-    out = found.where("doc_id <> component_id").select("doc_id")
-    return _without(_rows(docs, doc_id=F.col("doc_id")), out, ["doc_id"]).select("row.*")
+    keyed = docs.select("doc_id", _key().alias("key"), "text")
+    found = ngram_join.similar(keyed.select(F.col("key").alias("doc_id"), "text"))
+    moved = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id")
+    groups = stage(moved.groupBy("component_id").agg(
+        F.count_distinct("key").alias("n")).where("n > 1").select("component_id"), "near_groups")
+    members = stage(
+        moved.join(bounded(groups, BROADCAST_ROWS), "component_id", "left_semi").distinct(), "near")
+    ids = keyed.select("key", "doc_id").join(bounded(members, BROADCAST_ROWS), "key")
+    best = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    out = members.join(best.select("best.key"), "key", "left_anti").select("key")
+    return _without(_rows(docs, key=_key()), out, ["key"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = phrase_index.matches(
-        docs.select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
-    out = phrase_index.contamination(found).where("contaminated").select("doc_id")
-    return _without(_rows(docs, doc_id=F.col("doc_id")), out, ["doc_id"]).select("row.*")
+        docs.select(_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    judged = phrase_index.contamination(found).where("contaminated")
+    out = judged.select(F.col("doc_id").alias("key"))
+    return _without(_rows(docs, key=_key()), out, ["key"]).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
