@@ -19,17 +19,20 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casebook.operators.evaluate import macro_f1, outcomes
 from casebook.operators.sampling import with_folds
 from casebook.operators.voting import argmax_label, confidence, joint_confidence, soft_vote
-from casebook.sources.staging import compact, stage
+from casebook.sources.staging import bounded, compact, stage
 
 # Grids of the regularisation strength.
 LEVEL1_GRID = [0.01, 0.1, 0.5, 1.0]
 LEVEL2_GRID = [0.1, 1.0, 5.0]
 
+# Rows of a class that a bound on the training rows leaves at least.
+LEAST_ROWS = 8
+
 # Jobs that this process runs side by side, over all levels of nesting.
 _SLOTS = threading.BoundedSemaphore(8)
 
@@ -39,8 +42,9 @@ class Settings:
     """Training parameters shared by all fits.
 
     ``train_rows`` bounds the labelled rows that a fit uses: beyond it, rows are chosen by the hash
-    of their id, the same share of every class but two rows of each at least. ``max_classes`` tells
-    a label column from a mistaken one.
+    of their id, the same share of every class but the ``LEAST_ROWS`` of lowest hash of each at
+    least; with two levels a class is a pair of labels. ``max_classes`` tells a label column from
+    a mistaken one.
     """
 
     c: float = 1.0
@@ -92,8 +96,13 @@ def class_sizes(df: DataFrame, label: str, most: int = Settings.max_classes) ->
     return {r[0]: r[1] for r in rows}
 
 
-def bounded_rows(train: DataFrame, label: str, s: Settings) -> DataFrame:
-    """The labelled rows a fit may use, see ``Settings.train_rows``."""
+def bounded_rows(
+    train: DataFrame, label: str, s: Settings, level2: str | None = None
+) -> DataFrame:
+    """The labelled rows a fit may use, see ``Settings.train_rows``.
+
+    The rows of lowest hash are told in the map tasks first: no class meets as a whole.
+    """
     known = train.where(F.col(label).isNotNull())
     if s.train_rows is None:
         return known
@@ -102,8 +111,14 @@ def bounded_rows(train: DataFrame, label: str, s: Settings) -> DataFrame:
     if share >= 1:
         return known
     place = F.pmod(F.xxhash64(s.id_column), F.lit(1 << 30)) / float(1 << 30)
-    chance = {c: min(1.0, max(share, 8 / n)) for c, n in sizes.items()}
-    return known.where(place < _lookup(label, chance))
+    by = [F.col(label), *([F.col(level2)] if level2 else [])]
+    keyed = known.select(F.struct(*by).alias("_class"), place.alias("_place"))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_place"))
+    bars = stage(
+        keyed.withColumn("_rank", rank).where(F.col("_rank") <= LEAST_ROWS)
+        .groupBy("_class").agg(F.max("_place").alias("_bar")), "bars")
+    chosen = known.withColumn("_class", F.struct(*by)).join(bounded(bars), "_class")
+    return chosen.where((place < share) | (place <= F.col("_bar"))).drop("_class", "_bar")
 
 
 def _lookup(label: str, values: dict) -> Column:
@@ -457,7 +472,7 @@ def two_level(
     """
     if score not in ("joint", "level2"):
         raise ValueError(f"unknown confidence: {score}")
-    known = bounded_rows(train.where(F.col(level2).isNotNull()), level1, s)
+    known = bounded_rows(train.where(F.col(level2).isNotNull()), level1, s, level2)
     folded = with_folds(known, s.id_column, level1, s.folds, group_column=group_column).persist(
         StorageLevel.MEMORY_AND_DISK
     )
