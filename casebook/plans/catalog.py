@@ -713,7 +713,8 @@ def _run(spark, folder, kind: str) -> classify.Cascade:
         _RUNS[key] = (
             triage.broad_cascade(p, SETTINGS)
             if kind == "broad"
-            else triage.issue_cascade(p, SETTINGS)
+            else triage.issue_cascade(
+                p, SETTINGS, grid1=classify.LEVEL1_GRID, grid2=classify.LEVEL2_GRID)
         )
     return _RUNS[key]
 
@@ -741,18 +742,20 @@ def issue_cascade(spark, folder):
 
 @query
 def alt_grouping(spark, folder):
-    scored = triage.alternative_level1(_prepared(spark, folder), SETTINGS)
+    scored = triage.alternative_level1(
+        _prepared(spark, folder), SETTINGS, grid=classify.LEVEL1_GRID)
     return evaluate.class_report(evaluate.outcomes(scored, "y_true", "pred1"))
 
 
 @query
 def run_summary(spark, folder):
     p = _prepared(spark, folder)
-    _, original, _, _ = classify.fit_level1(p.train, p.test, "issue_group", SETTINGS)
+    _, original, _, _ = classify.fit_level1(
+        p.train, p.test, "issue_group", SETTINGS, classify.LEVEL1_GRID)
     return triage.run_summary(
         _run(spark, folder, "broad"), "sub_issue_group",
         original.withColumnRenamed("issue_group", "y_true"),
-        triage.alternative_level1(p, SETTINGS),
+        triage.alternative_level1(p, SETTINGS, grid=classify.LEVEL1_GRID),
     )
 
 
