@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.llm import (
-    chat, exact_dedup, language, lm_score, ngram_join, packing, phrase_index, secrets, sharding, token_counts,
+    chat, divergence, exact_dedup, inner_search, language, lm_score, ngram_join, packing,
+    phrase_index, repair, secrets, sharding, token_counts,
 )
 from casebook.sources.tables import read_table
 
@@ -355,3 +356,202 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 LEFT JOIN sizes USING (doc_id)
 """
+
+
+@query
+def op11_conversation_repair(spark, folder):
+    rows = read_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audited(repair.damage(rows))
+
+
+# One step of the recursion is one turn: at most one turn is inserted before it (more would only
+# cost), and the states are the phases. Cheaper first, then the lesser audit.
+SQL["op11_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations
+),
+hashed AS (
+    SELECT *, xor(4294967295, list_reduce(
+        [4294967295::BIGINT] || list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT),
+        lambda s, b: list_reduce([xor(s, b)] || range(8), lambda x, i:
+            CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS kind
+    FROM keyed
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+            ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM hashed
+),
+placed AS (
+    SELECT *, row_number() OVER w AS i, row_number() OVER (
+            PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+        left(lag(role) OVER w, 1) || left(role, 1) AS pair,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') AS cut
+    FROM damaged
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)
+),
+rows AS (
+    SELECT conv_id, turn, i, role, text, left(role, 1) AS initial, pair, blank,
+        NOT blank AND again AS duplicate, NOT blank AND NOT again AND cut AS truncated
+    FROM placed
+),
+stats AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+        count(*) FILTER (truncated) AS truncated, max(i) AS n,
+        count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY conv_id
+),
+inserts AS (
+    SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''),
+        (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I')) t(p, q, price, letters)
+),
+edits AS (
+    SELECT * FROM (VALUES (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'),
+        (3, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'), (0, '', 2, 2, 'R'), (1, '', 2, 2, 'R'),
+        (3, '', 2, 2, 'R'), (2, '', 3, 2, 'R'), (0, '', 0, 3, 'D'), (1, '', 1, 3, 'D'),
+        (2, '', 2, 3, 'D'), (3, '', 3, 3, 'D')) t(p, initial, q, price, letter)
+),
+states AS (
+    SELECT conv_id, 0::BIGINT AS i, 0 AS phase, {'c': 0::BIGINT, 'a': ''} AS way FROM stats
+    UNION ALL
+    SELECT conv_id, i, phase, way FROM (
+        SELECT r.conv_id, r.i, e.q AS phase, min({
+            'c': s.way.c + n.price + e.price + CASE WHEN r.truncated AND e.letter <> 'D'
+                THEN 1 ELSE 0 END, 'a': s.way.a || n.letters || e.letter}) AS way
+        FROM states s
+        JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+        JOIN inserts n ON n.p = s.phase
+        JOIN edits e ON e.p = n.q AND (e.initial = '' OR e.initial = r.initial)
+            AND (e.letter = 'D' OR NOT (r.blank OR r.duplicate))
+        GROUP BY r.conv_id, r.i, e.q
+    )
+),
+solved AS (
+    SELECT s.conv_id, min({'c': s.way.c + t.price, 'a': s.way.a || t.letters}) AS way
+    FROM states s JOIN stats n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.n = s.i
+    JOIN (VALUES (0, 0, ''), (1, 4, 'II'), (2, 2, 'I'), (3, 0, '')) t(p, price, letters)
+        ON t.p = s.phase
+    GROUP BY s.conv_id
+),
+letters AS (
+    SELECT conv_id, unnest(range(1, length(way.a) + 1)) AS place,
+        unnest(string_split(way.a, '')) AS letter
+    FROM solved WHERE way.a <> ''
+),
+numbered AS (
+    SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (
+        PARTITION BY conv_id ORDER BY place)::BIGINT AS i
+    FROM letters
+),
+stay AS (
+    SELECT m.conv_id, m.place, m.letter, r.role, CASE WHEN m.letter = 'I' THEN '' ELSE r.text END AS text,
+        row_number() OVER (PARTITION BY m.conv_id ORDER BY m.place) AS k,
+        first_value(m.letter = 'K' AND r.initial = 's') OVER (
+            PARTITION BY m.conv_id ORDER BY m.place) AS led
+    FROM numbered m LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i
+    WHERE m.letter <> 'D'
+),
+lines AS (
+    SELECT conv_id, place, CASE WHEN letter = 'K' THEN role
+        WHEN (k - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text AS line
+    FROM stay
+),
+mended AS (
+    SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS digest
+    FROM lines GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(way.c, 0) AS cost, coalesce(way.a, '') AS audit,
+    coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN solved ON solved.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query
+def op12_source_divergence(spark, folder):
+    return divergence.audit(_documents(spark, folder))
+
+
+SQL["op12_source_divergence"] = r"""
+WITH folded AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+counts AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs
+    FROM (SELECT lang, source, row, unnest(terms) AS term FROM folded) GROUP BY ALL
+),
+kept AS (
+    SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY lang, term HAVING sum(docs) >= 30
+),
+langs AS (
+    SELECT lang, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0)::HUGEINT AS v
+    FROM (SELECT DISTINCT lang FROM folded)
+    LEFT JOIN (SELECT lang, sum(n) AS n, count(*) AS v FROM kept GROUP BY lang) USING (lang)
+),
+groups AS (
+    SELECT lang, source, coalesce(n, 0)::HUGEINT AS n
+    FROM (SELECT DISTINCT lang, source FROM folded) LEFT JOIN (
+        SELECT lang, source, sum(counts.n) AS n FROM counts SEMI JOIN kept USING (lang, term)
+        GROUP BY lang, source) USING (lang, source)
+),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + 1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT // (g.n + 5 * l.v) AS p,
+        1 + 1000000000 * (k.n + 5) // (l.n + 5 * l.v) AS q
+    FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY ALL
+),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value,
+    row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op13_inner_product_search(spark, folder):
+    return inner_search.nearest(read_table(spark, folder, "embeddings"))
+
+
+SQL["op13_inner_product_search"] = """
+WITH usable AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x:
+        x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(
+        list_zip(a.v, b.v), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score
+    FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= 5
+"""

@@ -41,7 +41,7 @@ def test_sql(spark, folder, con, name):
 
 def test_one_query_for_each_number():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_packing_covers_every_id_once(spark, folder, ids):
