@@ -1,4 +1,4 @@
-"""Two-level classification with Spark ML: fits, calibration, voting, cross-validation.
+"""Two-level classification: single models, cross-validation of any fit, and the cascade.
 
 Frames carry ``doc_id``, a label column and ``features`` (a vector). Predictions are added as
 ``array<double>`` columns aligned with ``classes``, the label values in ascending order.
@@ -6,25 +6,22 @@ Frames carry ``doc_id``, a label column and ``features`` (a vector). Predictions
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import (
-    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel,
-)
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from casebook.operators.evaluate import macro_f1, outcomes
+from casebook.operators.linear import CalibratedSvc, Ensemble, Logistic
 from casebook.operators.sampling import with_folds
-from casebook.operators.voting import argmax_label, confidence, joint_confidence, soft_vote
-from casebook.sources.staging import bounded, compact, stage
+from casebook.operators.stacked import MODELS, Level, Settings, fit_level
+from casebook.operators.voting import argmax_label, confidence, joint_confidence
+from casebook.sources.staging import bounded, stage
 
 # Grids of the regularisation strength.
 LEVEL1_GRID = [0.01, 0.1, 0.5, 1.0]
@@ -33,31 +30,6 @@ LEVEL2_GRID = [0.1, 1.0, 5.0]
 # Rows of a class that a bound on the training rows leaves at least.
 LEAST_ROWS = 8
 
-# Jobs that this process runs side by side, over all levels of nesting.
-_SLOTS = threading.BoundedSemaphore(8)
-
-
-@dataclass(frozen=True)
-class Settings:
-    """Training parameters shared by all fits.
-
-    ``train_rows`` bounds the labelled rows that a fit uses: beyond it, rows are chosen by the hash
-    of their id, the same share of every class but the ``LEAST_ROWS`` of lowest hash of each at
-    least; with two levels a class is a pair of labels. ``max_classes`` tells a label column from
-    a mistaken one.
-    """
-
-    c: float = 1.0
-    max_iter: int = 1000
-    tol: float = 1e-4
-    calibration_folds: int = 3
-    folds: int = 5
-    threads: int = 8
-    id_column: str = "doc_id"
-    train_rows: int | None = None
-    max_classes: int = 1000
-
-
 def _together(jobs: Sequence[Callable], threads: int) -> list:
     """Run independent fits at the same time; Spark interleaves their tasks."""
     inherit = inheritable_thread_target(SparkSession.active())
@@ -65,12 +37,6 @@ def _together(jobs: Sequence[Callable], threads: int) -> list:
         return pool.map(lambda job: job(), [inherit(job) for job in jobs])
 
 
-def _fitted(estimator, frame: DataFrame):
-    """One fit; fits of all pools share the same few places."""
-    with _SLOTS:
-        return estimator.fit(frame)
-
-
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -121,190 +87,30 @@ def bounded_rows(
     return chosen.where((place < share) | (place <= F.col("_bar"))).drop("_class", "_bar")
 
 
-def _lookup(label: str, values: dict) -> Column:
-    """The value of the row's class, from a short list."""
-    keys = F.array(*[F.lit(k) for k in values])
-    return F.element_at(
-        F.array(*[F.lit(float(v)) for v in values.values()]),
-        F.array_position(keys, F.col(label)).cast("int"),
-    )
-
-
-def _balanced(sizes: dict[str, int]) -> dict[str, float]:
-    n, k = sum(sizes.values()), len(sizes)
-    return {c: n / (k * m) for c, m in sizes.items()}
-
-
 # --- single models --------------------------------------------------------------------------
 
 
-@dataclass
-class Logistic:
-    """A fitted L2 logistic regression."""
-
-    classes: list[str]
-    model: LogisticRegressionModel
-
-    def add_probabilities(self, df: DataFrame, out: str) -> DataFrame:
-        model = (
-            self.model.copy().setProbabilityCol("_lr_p").setRawPredictionCol("_lr_raw")
-            .setPredictionCol("_lr_y")
-        )
-        return (
-            model.transform(df)
-            .withColumn(out, vector_to_array("_lr_p"))
-            .drop("_lr_p", "_lr_raw", "_lr_y")
-        )
-
-
 def fit_logistic(train: DataFrame, label: str, s: Settings) -> Logistic:
-    """Multinomial logistic regression with balanced class weights.
-
-    The penalty is ``1 / (C * sum of weights)`` on plain coefficients; balanced weights sum to
-    the number of rows.
-    """
-    sizes = class_sizes(train, label, s.max_classes)
-    n = sum(sizes.values())
-    frame = compact(train).where(F.col(label).isNotNull()).select(
-        "features",
-        _lookup(label, {c: i for i, c in enumerate(sizes)}).alias("_y"),
-        _lookup(label, _balanced(sizes)).alias("_w"),
-    )
-    fitted = _fitted(LogisticRegression(
-        featuresCol="features", labelCol="_y", weightCol="_w", elasticNetParam=0.0,
-        regParam=1.0 / (s.c * n), standardization=False, maxIter=s.max_iter, tol=s.tol,
-    ), frame)
-    return Logistic(list(sizes), fitted)
-
-
-@dataclass
-class CalibratedSvc:
-    """Linear SVMs, one per class and calibration fold, with isotonic probability maps.
-
-    With two classes only the second one has a model; the first gets the complement.
-    """
-
-    classes: list[str]
-    members: list[list[tuple[LinearSVCModel, IsotonicRegressionModel]]] = field(repr=False)
-
-    def add_probabilities(self, df: DataFrame, out: str) -> DataFrame:
-        result, temporary, fold_arrays = df, [], []
-        for f, member in enumerate(self.members):
-            names = []
-            for c, (svm, calibrator) in enumerate(member):
-                raw, margin, p = f"_raw_{f}_{c}", f"_m_{f}_{c}", f"_p_{f}_{c}"
-                scored = svm.copy().setRawPredictionCol(raw).setPredictionCol(f"_y_{f}_{c}")
-                result = scored.transform(result).withColumn(margin, vector_to_array(raw)[1])
-                result = calibrator.copy().setFeaturesCol(margin).setPredictionCol(p).transform(
-                    result
-                )
-                names.append(p)
-                temporary += [raw, margin, p, f"_y_{f}_{c}"]
-            fold_arrays.append(self._normalised(names))
-        mean = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), fold_arrays)
-        k = float(len(self.members))
-        return result.withColumn(out, F.transform(mean, lambda x: x / k)).drop(*temporary)
-
-    def _normalised(self, names: list[str]) -> Column:
-        if len(self.classes) == 2:
-            return F.array(1.0 - F.col(names[0]), F.col(names[0]))
-        total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-        even = 1.0 / len(names)
-        return F.array(*[F.when(total > 0, F.col(n) / total).otherwise(F.lit(even)) for n in names])
+    """Multinomial logistic regression with balanced class weights and a free intercept."""
+    level = fit_level(train, label, s, models=("logistic",))
+    return level.fits["logistic", 0, 0, s.c]
 
 
 def fit_calibrated_svc(train: DataFrame, label: str, s: Settings) -> CalibratedSvc:
     """Linear SVM with isotonic calibration on held-out folds, averaged over the folds.
 
-    Weights are balanced anew in every fold. With more than two classes each one meets the
-    rest: its own rows weigh its balanced weight, all others weigh 1.
+    Squared hinge loss, penalised intercept. Weights are balanced anew in every fold. With more than
+    two classes each one meets the rest: its own rows weigh its balanced weight, all others weigh 1.
     """
-    sizes = class_sizes(train, label, s.max_classes)
-    classes = list(sizes)
-    folds = min(s.calibration_folds, min(sizes.values()))
-    if folds < 2:
-        raise ValueError("calibration needs two rows of every class")
-    known = train.where(F.col(label).isNotNull()).select(s.id_column, label, "features")
-    frame = compact(
-        with_folds(known, s.id_column, label, folds, salt="calibration-42", out="_cal")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    per_fold = {
-        (r["_cal"], r[label]): r["count"] for r in frame.groupBy("_cal", label).count().collect()
-    }
-    targets = classes[1:] if len(classes) == 2 else classes
-
-    def job(fold: int, target: str) -> Callable:
-        fitting = {c: sizes[c] - per_fold.get((fold, c), 0) for c in classes}
-        weights = _balanced(fitting)
-        if len(classes) > 2:
-            weights = {c: weights[c] if c == target else 1.0 for c in classes}
-        mass = sum(fitting[c] * weights[c] for c in classes)
-
-        def run() -> tuple[LinearSVCModel, IsotonicRegressionModel]:
-            hit = (F.col(label) == target).cast("double")
-            svm = _fitted(
-                LinearSVC(
-                    featuresCol="features", labelCol="_y", weightCol="_w", maxIter=s.max_iter,
-                    regParam=1.0 / (s.c * mass), standardization=False, tol=s.tol,
-                    rawPredictionCol="_raw", predictionCol="_pred",
-                ),
-                frame.where(F.col("_cal") != fold).select(
-                    "features", hit.alias("_y"), _lookup(label, weights).alias("_w")
-                ),
-            )
-            held_out = svm.transform(frame.where(F.col("_cal") == fold)).select(
-                vector_to_array("_raw")[1].alias("_m"), hit.alias("_hit")
-            )
-            calibrator = _fitted(
-                IsotonicRegression(
-                    featuresCol="_m", labelCol="_hit", predictionCol="_p", isotonic=True
-                ),
-                held_out,
-            )
-            return svm, calibrator
-
-        return run
+    level = fit_level(train, label, s, models=("svc",))
+    if ("svc", 0, 0, s.c) not in level.fits:
+        raise ValueError("calibration needs two classes and two rows of each")
+    return level.fits["svc", 0, 0, s.c]
 
-    jobs = [job(f, c) for f in range(folds) for c in targets]
-    fitted = _together(jobs, s.threads)
-    frame.unpersist()
-    width = len(targets)
-    return CalibratedSvc(classes, [fitted[f * width : (f + 1) * width] for f in range(folds)])
 
-
-@dataclass
-class Ensemble:
-    """Soft vote of the logistic regression and, where it could be fitted, the SVM."""
-
-    classes: list[str]
-    models: list[Logistic | CalibratedSvc] = field(repr=False)
-
-    def add_probabilities(self, df: DataFrame, out: str) -> DataFrame:
-        if not self.models:  # a single class: certain
-            return df.withColumn(out, F.array(F.lit(1.0)))
-        result = df
-        for i, model in enumerate(self.models):
-            result = model.add_probabilities(result, f"_vote_{i}")
-        if len(self.models) == 1:
-            return result.withColumnRenamed("_vote_0", out)
-        vote = soft_vote(F.col("_vote_0"), F.col("_vote_1"))
-        return result.withColumn(out, vote).drop("_vote_0", "_vote_1")
-
-    def class_array(self) -> Column:
-        return F.array(*[F.lit(c) for c in self.classes])
-
-
-def fit_ensemble(
-    train: DataFrame, label: str, s: Settings, svc_settings: Settings | None = None
-) -> Ensemble:
+def fit_ensemble(train: DataFrame, label: str, s: Settings) -> Ensemble:
     """Both models. One class needs none; a class of one row leaves the SVM out."""
-    sizes = class_sizes(train, label, s.max_classes)
-    if len(sizes) == 1:
-        return Ensemble(list(sizes), [])
-    models: list[Logistic | CalibratedSvc] = [fit_logistic(train, label, s)]
-    if min(sizes.values()) >= 2:
-        models.append(fit_calibrated_svc(train, label, svc_settings or s))
-    return Ensemble(list(sizes), models)
+    return fit_level(train, label, s).ensemble()
 
 
 def fit_one(kind: str) -> Callable[[DataFrame, str, Settings], Ensemble]:
@@ -315,12 +121,8 @@ def fit_one(kind: str) -> Callable[[DataFrame, str, Settings], Ensemble]:
     """
 
     def fit(train: DataFrame, label: str, s: Settings) -> Ensemble:
-        sizes = class_sizes(train, label, s.max_classes)
-        if len(sizes) == 1:
-            return Ensemble(list(sizes), [])
-        usable = kind == "svc" and min(sizes.values()) >= 2
-        model = (fit_calibrated_svc if usable else fit_logistic)(train, label, s)
-        return Ensemble(list(sizes), [model])
+        level = fit_level(train, label, s, models=("logistic",) if kind == "logistic" else MODELS)
+        return level.alone(kind, 0, 0, s.c)
 
     return fit
 
@@ -411,51 +213,47 @@ def with_cascade_features(df: DataFrame, p1: str = "p1") -> DataFrame:
     return joined.transform(staged).drop("_text", "_p1")
 
 
-def _tuned(
-    train: DataFrame, label: str, s: Settings, grid: Sequence[float] | None
-) -> tuple[Settings, Settings]:
-    """Settings for both models: fixed, or each with its own best C of the grid."""
-    if grid is None:
-        return s, s
-    folded = with_folds(
-        train.where(F.col(label).isNotNull()), s.id_column, label, s.folds
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    smallest = min(class_sizes(train, label, s.max_classes).values())
-    best_lr = grid_search(folded, label, fit_one("logistic"), grid, s).best
-    best_svc = s.c
-    if smallest >= 2:
-        best_svc = grid_search(folded, label, fit_one("svc"), grid, s).best
-    folded.unpersist()
-    return Settings(**{**s.__dict__, "c": best_lr}), Settings(**{**s.__dict__, "c": best_svc})
-
-
 @dataclass
 class Cascade:
     """Predictions of a two-level run, and the level-1 model behind them."""
 
     level1: Ensemble
     predictions: DataFrame
+    first: Level | None = None
+    second: Level | None = None
+
+
+def level1(
+    train: DataFrame, label: str, s: Settings, grid: Sequence[float] | None = None,
+    folded: bool = True, group_column: str | None = None,
+) -> Level:
+    """The first level; ``folded`` or a grid adds the fits without each fold."""
+    rows = bounded_rows(train, label, s)
+    if not folded and grid is None:
+        return fit_level(rows, label, s)
+    rows = with_folds(rows, s.id_column, label, s.folds, group_column=group_column)
+    return fit_level(rows, label, s, grid, fold="fold")
+
+
+def _told(level: Level, test: DataFrame) -> DataFrame:
+    return level.add_probabilities(test, "p1").withColumn(
+        "pred1", argmax_label(F.col("p1"), level.class_names(F.lit(0))))
 
 
 def fit_level1(
     train: DataFrame, test: DataFrame, label: str, s: Settings,
     grid: Sequence[float] | None = None,
-) -> tuple[Ensemble, DataFrame, Settings, Settings]:
-    """Level-1 ensemble and the test rows with ``p1`` and ``pred1``."""
-    train = bounded_rows(train, label, s)
-    lr, svc = _tuned(train, label, s, grid)
-    model = fit_ensemble(train, label, lr, svc)
-    scored = model.add_probabilities(test, "p1").withColumn(
-        "pred1", argmax_label(F.col("p1"), model.class_array())
-    )
-    return model, scored, lr, svc
+) -> tuple[Level, DataFrame]:
+    """The first level and the test rows with ``p1`` and ``pred1``."""
+    level = level1(train, label, s, grid, folded=False)
+    return level, _told(level, test)
 
 
 def two_level(
     train: DataFrame,
     test: DataFrame,
-    level1: str,
-    level2: str,
+    label1: str,
+    label2: str,
     s: Settings = Settings(),
     score: str = "joint",
     grid1: Sequence[float] | None = None,
@@ -465,50 +263,33 @@ def two_level(
     """Train level 1, then one level-2 ensemble per true level-1 class; route by prediction.
 
     Level 2 sees the text features plus the level-1 probabilities: out-of-fold ones in
-    training, the model's own on test rows. ``score`` is the confidence: ``joint`` multiplies both
+    training, the model's own on test rows. All folds and cells of level 1 are one stack of fits,
+    all groups of level 2 another. ``score`` is the confidence: ``joint`` multiplies both
     levels, ``level2`` is the level-2 maximum. ``group_column`` keeps groups of rows (a text and its
     paraphrases) in one fold. Output: the test ids and labels with ``pred1``, ``pred2``,
     ``conf``.
     """
     if score not in ("joint", "level2"):
         raise ValueError(f"unknown confidence: {score}")
-    known = bounded_rows(train.where(F.col(level2).isNotNull()), level1, s, level2)
-    folded = with_folds(known, s.id_column, level1, s.folds, group_column=group_column).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    model, scored, lr, svc = fit_level1(folded, test, level1, s, grid1)
-
-    def fit(part: DataFrame, label: str, _: Settings) -> Ensemble:
-        return fit_ensemble(part, label, lr, svc)
-
-    oof = stage(with_cascade_features(out_of_fold(folded, level1, s, fit)), "out_of_fold")
-    routed = stage(with_cascade_features(scored), "level1_test")
-    folded.unpersist()
-
-    def group(name: str) -> Callable:
-        def run() -> DataFrame:
-            own = oof.where(F.col(level1) == name).drop("fold").persist(
-                StorageLevel.MEMORY_AND_DISK
-            )
-            lr2, svc2 = _tuned(own, level2, s, grid2 if _many(own, level2) else None)
-            ensemble = fit_ensemble(own, level2, lr2, svc2)
-            own.unpersist()
-            theirs = routed.where(F.col("pred1") == name)
-            return ensemble.add_probabilities(theirs, "p2").withColumn(
-                "pred2", argmax_label(F.col("p2"), ensemble.class_array())
-            )
-
-        return run
-
-    parts = _together([group(name) for name in model.classes], s.threads)
+    known = bounded_rows(train.where(F.col(label2).isNotNull()), label1, s, label2)
+    folded = with_folds(known, s.id_column, label1, s.folds, group_column=group_column)
+    first = fit_level(folded, label1, s, grid1, fold="fold")
+    own = stage(with_cascade_features(first.out_of_fold("p1")).drop("fold"), "out_of_fold")
+    routed = stage(with_cascade_features(_told(first, test)), "level1_test")
+    fold2 = None
+    if grid2 is not None:
+        fold2, pair = "fold2", F.concat_ws("|", label1, label2)
+        own = with_folds(
+            own.withColumn("_pair", pair), s.id_column, "_pair", s.folds, out=fold2).drop("_pair")
+    second = fit_level(own, label2, s, grid2, group=label1, fold=fold2)
+    names = F.array(*[F.lit(g) for g in second.groups])
+    g = (F.array_position(names, F.col("pred1")) - 1).cast("int")
+    scored = stage(second.add_probabilities(routed, "p2", g), "level2_test")
     conf = (
         joint_confidence(F.col("p1"), F.col("p2"))
         if score == "joint"
         else confidence(F.col("p2"))
     )
-    final = _union([p.withColumn("conf", conf).drop("features") for p in parts])
-    return Cascade(model, stage(final, "predictions"))
-
-
-def _many(df: DataFrame, label: str) -> bool:
-    return len(class_sizes(df, label)) > 1
+    final = scored.withColumn("pred2", argmax_label(F.col("p2"), second.class_names(g))).withColumn(
+        "conf", conf).drop("features")
+    return Cascade(first.ensemble(), stage(final, "predictions"), first, second)

@@ -681,23 +681,17 @@ def level1_svc_calibrated(spark, folder):
     return _probability_rows(model.add_probabilities(p.test, "p"), model.classes)
 
 
-def _folded(rows, label):
-    return stage(sampling.with_folds(rows, "doc_id", label, SETTINGS.folds), "folded")
-
-
 @query
 def grid_search(spark, folder):
-    """The logistic regression over the whole level-1 grid, with the cell that a refit uses."""
-    folded = _folded(_prepared(spark, folder).train, "issue_group")
-    scores = classify.grid_search(
-        folded, "issue_group", classify.fit_one("logistic"), classify.LEVEL1_GRID, SETTINGS
-    ).scores
-    return scores.withColumn("model", F.lit("logistic"))
+    """Both models over the whole level-1 grid, with the cells that the refits use."""
+    level = classify.level1(
+        _prepared(spark, folder).train, "issue_group", SETTINGS, classify.LEVEL1_GRID)
+    return level.scores.select("model", "c", "mean_macro_f1", "best")
 
 
 def _out_of_fold(spark, folder):
     rows = _prepared(spark, folder).train.where("broad_group is not null")
-    return classify.out_of_fold(_folded(rows, "broad_group"), "broad_group", SETTINGS)
+    return classify.level1(rows, "broad_group", SETTINGS).out_of_fold("p1")
 
 
 @query
@@ -750,7 +744,7 @@ def alt_grouping(spark, folder):
 @query
 def run_summary(spark, folder):
     p = _prepared(spark, folder)
-    _, original, _, _ = classify.fit_level1(
+    _, original = classify.fit_level1(
         p.train, p.test, "issue_group", SETTINGS, classify.LEVEL1_GRID)
     return triage.run_summary(
         _run(spark, folder, "broad"), "sub_issue_group",

@@ -50,7 +50,7 @@ def alternative_level1(
     train, test = (
         regroup(df, "issue_group", BROAD_GROUPS, "issue_alternative") for df in (p.train, p.test)
     )
-    _, scored, _, _ = fit_level1(
+    _, scored = fit_level1(
         train.where("issue_alternative is not null"),
         test.where("issue_alternative is not null"),
         "issue_alternative", s, grid,

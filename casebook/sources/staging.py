@@ -38,7 +38,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
-def _size(spark: SparkSession, path: str) -> int:
+def size_of(spark: SparkSession, path: str) -> int:
     """Bytes below a path that Spark can read."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(path))
@@ -87,7 +87,7 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     width = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    splits = sum(-(-_size(spark, f) // width) for f in files)
+    splits = sum(-(-size_of(spark, f) // width) for f in files)
     return df.repartition(slots) if splits < slots else df
 
 
@@ -96,14 +96,16 @@ def compact(df: DataFrame, bytes_per_task: int = 32 << 20) -> DataFrame:
 
     For iterative fits, where every task of every pass costs more than its rows do.
     """
-    size = sum(_size(df.sparkSession, f) for f in df.inputFiles())
+    size = sum(size_of(df.sparkSession, f) for f in df.inputFiles())
     return df.coalesce(size // bytes_per_task + 1) if size else df
 
 
-def bounded(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """A broadcast hint for ``df`` if it has ``limit`` rows at most, else ``df`` as it is.
+def bounded(df: DataFrame, limit: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A broadcast hint for ``df`` if it is small in rows and in bytes, else ``df`` as it is.
 
-    Without the hint Spark joins by shuffle and splits hot keys at run time. ``df`` should be
-    staged or otherwise cheap: its rows are counted, up to the limit.
+    Bytes are those of the files behind ``df`` (a staged table; a narrower or filtered one has
+    fewer), which are read from the listing; rows are counted up to the limit. Without the hint
+    Spark joins by shuffle and splits hot keys at run time.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    small = sum(size_of(df.sparkSession, f) for f in df.inputFiles()) <= most_bytes
+    return F.broadcast(df) if small and df.limit(limit + 1).count() <= limit else df
