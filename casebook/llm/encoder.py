@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of white-space chunks.
 
 The tokenizer drops white space and never joins text across it, so a text's ids are its chunks'
-ids in order. Chunks repeat; each new one is encoded once per worker and a bounded cache keeps it.
+ids in order. Chunks repeat; each new one is encoded once per task and a cache of bounded bytes keeps
+it. The task frees the cache when it ends (:func:`release`).
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import struct
 from functools import lru_cache
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-CACHE_ENTRIES = 500_000
+CACHE_BYTES = 48 << 20
+#: What an entry takes beside its characters and ids.
+_ENTRY_BYTES = 190
 
 # Characters whose lower case, composition and class are the same in every Unicode version.
 _PLAIN = re.compile(r"[^\t\n\r -~¡-©«-±´¶-¸»¿-ÿŒœ]")
@@ -38,6 +41,7 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.held = 0
 
     def __missing__(self, chunk: str) -> bytes:
         if _PLAIN.search(chunk) or "<|" in chunk:
@@ -48,8 +52,11 @@ class _Chunks(dict):
                 ids = self.piece(chunk)
             else:
                 ids = b"".join(map(self.__getitem__, pieces))
-        if len(self) >= CACHE_ENTRIES:
+        size = _ENTRY_BYTES + len(chunk) + len(ids)
+        if self.held + size > CACHE_BYTES:
             self.clear()
+            self.held = 0
+        self.held += size
         self[chunk] = ids
         return ids
 
@@ -69,6 +76,11 @@ def _chunks(path: str) -> _Chunks:
     return _Chunks(path)
 
 
+def release() -> None:
+    """Free all cached chunks and the tokenizers."""
+    _chunks.cache_clear()
+
+
 def packed_ids(text: str | None, path: str) -> bytes:
     """The ids of ``text`` as little-endian unsigned 32-bit numbers; null is empty."""
     if not text:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casebook.llm import wordhash
+from casebook.llm.memory import tidy
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -203,7 +204,10 @@ def _predictor(net: Network | None):
                 ["lang", "score"],
             )
 
-    return F.arrow_udf(predict, "lang string, score double")
+    def predicted(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(predict)(columns)
+
+    return F.arrow_udf(predicted, "lang string, score double")
 
 
 def predict(net: Network | None, text: Column) -> Column:

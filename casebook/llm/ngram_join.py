@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.llm import wordhash
+from casebook.llm.memory import tidy
 from casebook.sources.staging import bounded, stage
 
 N = 5
@@ -221,7 +222,7 @@ def profiles(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """
     both = stage(
         docs.select("doc_id", "text").mapInArrow(
-            lambda b: _profiles(b, n),
+            tidy(lambda b: _profiles(b, n)),
             "doc_id long, n_shingles long, class long, sketch binary, block int, counts binary",
         ),
         "profiles",
@@ -293,7 +294,7 @@ def meetings(docs: DataFrame, n: int, percent: int, counts, total: int) -> DataF
     """``(token, class)`` for the first order's prefix tokens that several classes hold."""
     buckets = max(24, total * (100 - percent) // 100 // BUCKET_TOKENS)
     packed = docs.select("text").mapInArrow(
-        lambda b: _postings(b, n, percent, counts, buckets),
+        tidy(lambda b: _postings(b, n, percent, counts, buckets)),
         "bucket long, tokens binary, classes binary",
     )
     shared = packed.groupBy("bucket").applyInArrow(
@@ -329,7 +330,7 @@ def sets_for(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int) -> Dat
     wanted = stage(wanted.select("doc_id").distinct(), "wanted")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     texts = texts.join(bounded(wanted, 2_000_000), "doc_id", "left_semi").select("text")
-    return stage(texts.mapInArrow(lambda b: _sets(b, n), "class long, grams binary"), "sets")
+    return stage(texts.mapInArrow(tidy(lambda b: _sets(b, n)), "class long, grams binary"), "sets")
 
 
 # --- 4. pairs, links, components --------------------------------------------------------------
@@ -431,7 +432,7 @@ def left_pairs(met: DataFrame, labels: DataFrame, traits: DataFrame, percent: in
         F.least("home", "other").alias("left"), F.greatest("home", "other").alias("right"))
     keys = ["token", "left", "right"]
     dealt = met_.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda rows: _left(rows, percent), "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(lambda rows: _left(rows, percent)), "a long, b long").distinct()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -474,7 +475,7 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int, counts, name: str) ->
     x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(lambda rows: _verified(rows, percent, counts), "a long, b long"), name)
+    return stage(both.mapInArrow(tidy(lambda rows: _verified(rows, percent, counts)), "a long, b long"), name)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from casebook.llm.encoder import packed_ids, tokenizer_path
+from casebook.llm.encoder import packed_ids, release, tokenizer_path
+from casebook.llm.memory import tidy
 
 CAPACITY = 4096
 SEPARATOR = 2
@@ -149,5 +150,5 @@ def pack(
     """The pieces of all documents with their ids, sequence and place in it."""
     path = tokenizer or tokenizer_path()
     return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _packed(batches, path, capacity, separator), PIECES
+        tidy(lambda batches: _packed(batches, path, capacity, separator), release), PIECES
     )

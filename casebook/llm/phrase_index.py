@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.llm import wordhash
+from casebook.llm.memory import tidy
 from casebook.sources.staging import stage
 
 WINDOW = 13
@@ -91,7 +92,7 @@ _HITS = pa.schema([
 
 def build(docs: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
     """The stored index of ``docs``; ``wanted`` leaves out the lists of all other terms."""
-    index = docs.select("doc_id", "text").mapInArrow(lambda b: _segments(b, wanted), SEGMENT)
+    index = docs.select("doc_id", "text").mapInArrow(tidy(lambda b: _segments(b, wanted)), SEGMENT)
     return stage(index, "phrase_index")
 
 
@@ -207,7 +208,7 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases):
 def search(index: DataFrame, phrases: Phrases) -> DataFrame:
     """One row per document: its words, the places of hit words and the items found."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
-    return index.mapInArrow(lambda batches: _search(batches, shared.value), HITS)
+    return index.mapInArrow(tidy(lambda batches: _search(batches, shared.value)), HITS)
 
 
 def _near(batches: Iterator[pa.RecordBatch], phrases: Phrases, width: int):

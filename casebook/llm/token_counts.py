@@ -12,7 +12,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casebook.llm.encoder import packed_ids, tokenizer_path
+from casebook.llm.encoder import packed_ids, release, tokenizer_path
+from casebook.llm.memory import tidy
 from casebook.sources.staging import stage
 
 BLOCK = 4096
@@ -33,7 +34,7 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     """``(n_tokens, n_docs)``: one row per task and length is shuffled."""
     path = tokenizer or tokenizer_path()
     partial = docs.select("text").mapInArrow(
-        lambda batches: _lengths(batches, path), "n_tokens long, n_docs long"
+        tidy(lambda batches: _lengths(batches, path), release), "n_tokens long, n_docs long"
     )
     return partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
