@@ -8,10 +8,11 @@ is shuffled, only counts per range or bin and task. NULL and NaN are no values.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casebook.sources.staging import stage
@@ -46,65 +47,114 @@ def _bin(lo: float, hi: float, bins: int) -> Column:
     return F.least(F.floor((F.col("v") - lo) * bins / (hi - lo)), F.lit(bins - 1)).cast("long")
 
 
-def _ranked(c: Values, ranks: set[int], buckets: int) -> dict[int, float]:
-    """The values at the given ranks.
+#: Bits of a value's key that each pass tells: as many passes at most, whatever the values.
+DIGITS = (16, 12, 12, 12, 12)
+_SIGN = np.uint64(1 << 63)
 
-    Every pass counts the values of the ranges that hold a wanted rank in ``buckets`` parts, and
-    goes on with the parts that hold one, cut to their own ends, until a part is a single value.
+
+def _keys(v: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles, minus infinity first; -0 and 0 are one."""
+    bits = (v + 0.0).view(np.uint64)
+    return np.where(bits >= _SIGN, ~bits, bits | _SIGN)
+
+
+def _double(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(opened: list[int], shift: int, width: int):
+    """How many values have each digit behind the opened prefixes, and the least and greatest key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = np.array(opened, np.uint64)
+        for batch in batches:
+            keys = np.sort(_keys(batch.column(0).to_numpy()))
+            leading = keys >> np.uint64(shift + width) if shift + width < 64 else keys & np.uint64(0)
+            firsts = np.searchsorted(leading, prefixes, "left")
+            ends = np.searchsorted(leading, prefixes, "right")
+            for i, (a, b) in enumerate(zip(firsts, ends)):
+                own = keys[a:b]
+                digits, at, n = np.unique(
+                    (own >> np.uint64(shift)) & np.uint64((1 << width) - 1),
+                    return_index=True, return_counts=True)
+                if len(n):
+                    low, high = own[at] ^ _SIGN, own[at + n - 1] ^ _SIGN  # in signed order
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(n), i, np.int32)), pa.array(digits.astype(np.int32)),
+                         pa.array(n.astype(np.int64)), pa.array(low.view(np.int64)),
+                         pa.array(high.view(np.int64))], ["i", "digit", "n", "low", "high"])
+
+    return run
+
+
+def _ranked(c: Values, ranks: set[int], digits: Sequence[int] = DIGITS) -> dict[int, float]:
+    """The values at the given ranks, by radix selection.
+
+    Every pass counts one digit of the values' keys behind the prefixes that hold a wanted rank; a
+    prefix whose values are all equal is done. Nothing but counts of digits is shuffled, and the
+    driver sees ``2 ** digit`` rows at most for each prefix.
     """
-    buckets = max(2, buckets)  # the ends of a range always part
-    wanted = {r: (c.lo, c.hi, 0) for r in ranks}  # by rank: range, values below it
-    while opened := sorted({w for w in wanted.values() if w[0] < w[1]}):
-        inside = [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi, _ in opened]
-
-        def pick(values: list[Column]) -> Column:
-            return reduce(lambda rest, i: F.when(inside[i], values[i]).otherwise(rest),
-                          range(len(opened)), F.lit(None))
-
-        parts = (
-            c.table.where(reduce(Column.__or__, inside))
-            .select("v", pick([F.lit(i) for i in range(len(opened))]).alias("range"),
-                    pick([_bin(lo, hi, buckets) for lo, hi, _ in opened]).alias("part"))
-            .groupBy("range", "part")
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("range", "part")
-            .collect()
-        )
-        for rank, place in wanted.items():
-            if place[0] == place[1]:
-                continue
-            below = place[2]
-            for part in parts:
-                if opened[part["range"]] != place:
-                    continue
+    found: dict[int, float] = {}
+    places = {r: (0, 0) for r in ranks}  # by rank: prefix, values below it
+    shift = 64
+    for width in digits:
+        if not places:
+            break
+        shift -= width
+        opened = sorted({prefix for prefix, _ in places.values()})
+        counts = c.table.select("v").mapInArrow(
+            _digit_counts(opened, shift, width), "i int, digit int, n long, low long, high long",
+        ).groupBy("i", "digit").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        ).orderBy("i", "digit").collect()
+        by_prefix: dict[int, list] = {p: [] for p in opened}
+        for row in counts:
+            by_prefix[opened[row["i"]]].append(row)
+        for rank, (prefix, below) in list(places.items()):
+            for part in by_prefix[prefix]:
                 if rank < below + part["n"]:
-                    wanted[rank] = (part["lo"], part["hi"], below)
                     break
                 below += part["n"]
-    return {rank: place[0] for rank, place in wanted.items()}
+            if part["low"] == part["high"]:
+                found[rank] = _double((part["low"] % (1 << 64)) ^ (1 << 63))
+                del places[rank]
+            else:
+                places[rank] = (prefix << width) | part["digit"], below
+    return found
 
 
-def _quantiles(c: Values, probabilities: Sequence[float], buckets: int = 4096) -> dict[float, float]:
+def _between(low: float, high: float, share: float) -> float:
+    """Linear interpolation that neither overflows nor leaves equal or infinite ends."""
+    if low == high or share == 0:
+        return low
+    if math.isinf(high - low):
+        return low * (1 - share) + high * share
+    return low + (high - low) * share
+
+
+def _quantiles(
+    c: Values, probabilities: Sequence[float], digits: Sequence[int] = DIGITS
+) -> dict[float, float]:
     if not c.total:
         return {}
     places = {float(p): p * (c.total - 1) for p in probabilities}
     ranks = {f(x) for x in places.values() for f in (math.floor, math.ceil)}
-    at = _ranked(c, ranks, buckets)
-    found = {}
-    for p, x in places.items():
-        low, high = at[math.floor(x)], at[math.ceil(x)]
-        found[p] = low + (high - low) * (x - math.floor(x))
-    return found
+    at = _ranked(c, ranks, digits)
+    return {
+        p: _between(at[math.floor(x)], at[math.ceil(x)], x - math.floor(x))
+        for p, x in places.items()}
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], buckets: int = 4096
+    df: DataFrame, column: str, probabilities: Sequence[float], digits: Sequence[int] = DIGITS
 ) -> DataFrame:
     """``(p, value)`` with linear interpolation, exact and without ordering any values.
 
-    See :func:`_ranked`; an outlier costs a pass. No values, no quantiles.
+    See :func:`_ranked`; ``digits`` are bits that add up to 64. No values, no quantiles; between
+    the two infinities lies NaN.
     """
-    found = _quantiles(values_of(df, column), probabilities, buckets)
+    found = _quantiles(values_of(df, column), probabilities, digits)
     return df.sparkSession.createDataFrame(list(found.items()), "p double, value double")
 
 

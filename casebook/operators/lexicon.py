@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casebook.functions.text import clean_tokens
 from casebook.operators.tfidf import most_frequent
@@ -108,24 +108,22 @@ def build_lexicon(
 
 
 def _lookup(pairs: list[tuple[str, str]]):
-    """A function of token arrays that replaces the known tokens, one lookup per Arrow batch."""
-    keys = pa.array([token for token, _ in pairs], pa.string())
-    lemmas = pa.array([lemma for _, lemma in pairs], pa.string())
+    """A function of token arrays that replaces the known tokens.
 
-    def replace(column: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        flat = pc.list_flatten(column).cast(pa.string())
-        if len(keys):
-            at = pc.index_in(flat, keys)
-            flat = pc.coalesce(lemmas.take(at), flat)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), flat)
+    The table travels once and a worker keeps it; a batch looks each of its different tokens up
+    once. Marked as not deterministic so that filters on its result don't repeat it.
+    """
+    table = SparkSession.active().sparkContext.broadcast(dict(pairs))
 
-    @F.arrow_udf("array<string>")
     def replaced(column: pa.Array) -> pa.Array:
-        return replace(column)
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(column).cast(pa.string()).dictionary_encode()
+        known = table.value
+        lemmas = pa.array([known.get(t, t) for t in flat.dictionary.to_pylist()], pa.string())
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), lemmas.take(flat.indices))
 
-    return replaced
+    return F.arrow_udf(replaced, "array<string>").asNondeterministic()
 
 
 def lemmatise(

@@ -288,7 +288,8 @@ def _models(blocks: DataFrame, solutions: dict, classes: dict) -> dict:
         if key[0] == "logistic":
             names = [classes[key[1]][y] for y in solution.problem.classes]
             fits[key] = Logistic(names, solution.w)
-    svms = [sol for key, sol in solutions.items() if key[0] == "svc"]
+    # In order of their keys: the members of a part are in the order of the classes.
+    svms = [solutions[key] for key in sorted(k for k in solutions if k[0] == "svc")]
     if not svms:
         return fits
     found = curves(fit_isotonic(_held_out(blocks, svms)))

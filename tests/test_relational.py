@@ -1,6 +1,7 @@
 """Micro tables with results worked out by hand."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -88,10 +89,10 @@ def test_periods_take_the_first_match(spark):
     assert [r.period for r in tagged.orderBy("d").collect()] == ["q", "p", None]
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 4096])
-def test_exact_quantiles(spark, buckets):
+@pytest.mark.parametrize("digits", [(16,) * 4, (8,) * 8, distribution.DIGITS])
+def test_exact_quantiles(spark, digits):
     df = spark.createDataFrame([(3,), (1,), (2,), (10,), (None,)], "v int")
-    got = distribution.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], buckets)
+    got = distribution.exact_quantiles(df, "v", [0.0, 0.25, 0.5, 1.0], digits)
     assert rows(got) == [(0.0, 1.0), (0.25, 1.75), (0.5, 2.5), (1.0, 10.0)]
     constant = spark.range(7).select(F.lit(4).alias("v"))
     assert rows(distribution.exact_quantiles(constant, "v", [0.25])) == [(0.25, 4.0)]
@@ -103,10 +104,37 @@ def test_quantiles_match_percentile_on_skewed_values(spark):
     )
     ps = [0.01, 0.33, 0.334, 0.5, 0.999]
     want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in ps]))).first()[0]
-    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", ps, 64).collect()}
+    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", ps).collect()}
     assert [pytest.approx(w) for w in want] == [got[p] for p in ps]
 
 
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, float("inf")], [-1.7e308, 0.0, 1.0, 1.7e308], [float("-inf"), -0.0, 0.0, 5e-324],
+    [float("-inf"), float("inf")], [1.0, 1.0 + 2**-52, 1.0 + 2**-51], [-3.0, float("nan"), None, -7.5],
+])
+def test_quantiles_of_extreme_values(spark, values):
+    """Infinities, the whole range of doubles and neighbouring doubles: a fixed number of passes."""
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    ordered = sorted(v for v in values if v is not None and not math.isnan(v))
+    n = len(ordered) - 1
+    ps = [i / n for i in range(n + 1)]
+    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", ps).collect()}
+    assert [got[p] for p in ps] == ordered
+    if len(values) == 4 and values[0] == -1.7e308:
+        assert distribution.quantile(df, "v", 1 / 6) == pytest.approx(-0.85e308)
+    assert distribution.summary(df, "v").first().max == ordered[-1]
+
+
+def test_quantile_passes_are_bounded(spark, monkeypatch):
+    calls = []
+    counted = distribution._digit_counts
+    monkeypatch.setattr(
+        distribution, "_digit_counts", lambda *a: (calls.append(a), counted(*a))[1])
+    df = spark.range(5000).select(F.exp(F.col("id") / 7.0 - 300).alias("v"))
+    distribution.exact_quantiles(df, "v", [i / 20 for i in range(21)])
+    assert 0 < len(calls) <= len(distribution.DIGITS)
+
+
 def test_quantile_gate_keeps_ties(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 2, 2, 9)], "v int")
     assert distribution.quantile_gate(df, "v", 0.25).count() == 4
@@ -254,7 +282,7 @@ def test_membership_in_a_table(spark):
 def test_values_leave_out_nan_and_an_outlier_costs_no_order(spark):
     values = [float(i) for i in range(2000)] + [1e15, float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", [0.25, 0.5, 1.0], 8).collect()}
+    got = {r.p: r.value for r in distribution.exact_quantiles(df, "v", [0.25, 0.5, 1.0], (8,) * 8).collect()}
     assert got == {0.25: 500.0, 0.5: 1000.0, 1.0: 1e15}
     row = distribution.summary(df.where("v < 2000"), "v").first()
     assert (row.n, row["mean"], row.q50) == (2000, 999.5, 999.5)
