@@ -9,7 +9,8 @@ Every filtering stage returns the columns of ``documents`` for the rows that it
 5. packing returns the pieces of the token sequences.
 
 Decisions are joined back by document id and text, as rows may share an id: by the digest of the
-normalised text after exact dedup, by a 64-bit hash of id and text in the next two stages. Of rows that repeat an id and a text, one stays. Rows without an id are judged by their
+normalised text after exact dedup, by a 64-bit hash of id and text in the next two stages. Of rows
+that repeat an id and a text, one stays. Rows without an id are judged by their
 language and text alone. Extra columns are carried along, whatever their names.
 """
 
@@ -23,6 +24,13 @@ from casebook.sources.tables import read_table
 
 LEAST_SCORE = 0.3
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between Spark and the stages' Python code, on both sides of the pipe.
+BATCH_BYTES = 8 << 20
+
+
+def _lean(spark: SparkSession) -> None:
+    """Batches by bytes: texts are long, and every batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def _rows(docs: DataFrame, **keys) -> DataFrame:
@@ -40,6 +48,7 @@ def _without(rows: DataFrame, out: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     net = language.learn(docs)
     found = language.predict(net, F.col("text"))
     judged = _rows(docs, found=found)
@@ -76,6 +85,7 @@ def _key() -> F.Column:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
     found = ngram_join.similar(keyed.select(F.col("key").alias("doc_id"), "text"))
     moved = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id")
@@ -90,6 +100,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     found = phrase_index.matches(
         docs.select(_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     judged = phrase_index.contamination(found).where("contaminated")
@@ -98,6 +109,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return packing.pack(docs)
 
 
