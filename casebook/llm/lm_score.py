@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from casebook.llm import wordhash
 from casebook.sources.staging import stage
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 SEGMENT_BYTES = 2 << 20
 TABLE_ENTRIES = 1_000_000

@@ -14,9 +14,6 @@ from casebook.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Beside QUERIES, which holds one query for each number.
-MORE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-MORE_SQL: dict[str, str] = {}
 
 
 def query(function):
@@ -229,52 +226,6 @@ def op9_lm_scoring(spark, folder):
 
 
 SQL["op9_lm_scoring"] = r"""
-WITH folded AS (
-    SELECT doc_id, coalesce(regexp_extract_all(
-        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^ 	-
-]+'), []) AS words
-    FROM documents
-),
-places AS (
-    SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM folded
-),
-grams AS (
-    SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS context
-    FROM places
-),
-counted AS (
-    SELECT *, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c1,
-        count(*) OVER (PARTITION BY context, word)
-            - count(*) OVER (PARTITION BY doc_id, context, word) AS c2,
-        (SELECT count(*) FROM places) - count(*) OVER (PARTITION BY doc_id) AS n
-    FROM grams
-),
-with_context AS (
-    SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS c0 FROM counted
-),
-scored AS (
-    SELECT doc_id, count(*) AS n_words,
-        count(*) FILTER (i > 0 AND c2 = 0) AS n_backed_off,
-        count(*) FILTER (c1 = 0) AS n_unseen,
-        sum(CASE WHEN i > 0 AND c2 > 0 THEN ln(c2 / c0)
-            ELSE ln(greatest(c1, 0.5) / greatest(n, 1)) + CASE WHEN i > 0 THEN ln(0.4) ELSE 0 END
-            END) AS log_score
-    FROM with_context GROUP BY doc_id
-)
-SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
-    coalesce(n_unseen, 0) AS n_unseen, round(coalesce(log_score, 0), 4) AS log_score
-FROM documents LEFT JOIN scored USING (doc_id)
-"""
-
-
-def op9_lm_scoring_order3(spark, folder):
-    scored = lm_score.score(_documents(spark, folder), order=3)
-    return scored.withColumn("log_score", F.round("log_score", 4))
-
-
-MORE_QUERIES["op9_lm_scoring_order3"] = op9_lm_scoring_order3
-MORE_SQL["op9_lm_scoring_order3"] = r"""
 WITH folded AS (
     SELECT doc_id, coalesce(regexp_extract_all(
         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

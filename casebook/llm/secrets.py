@@ -2,13 +2,15 @@
 
 Two character Markov models, one of random strings and one of ordinary identifiers, give the log
 likelihood ratio of a run of key characters. Runs that are long enough and clearly likelier under
-the random model are reported as ``markov`` spans beside the spans of the patterns.
+the random model are reported as ``markov`` spans beside the spans of the patterns. A run that is
+not, as a key behind a path or a name, is searched for the stretch with the largest sum of
+ratios above half the margin, and what lies before and behind it again.
 
 The ordinary model is trained on runs that the patterns leave alone in a bounded, hash-chosen
 sample of the texts, the random one on the values that they find there and on strings drawn with a
 fixed seed. Null text is empty and has no spans; spans count code points, ends exclusive, and lie
-in order of start, then kind. Spans of different kinds may overlap, but a run that meets a pattern's
-span is not reported again. Repeated rows get equal spans; an empty table gives no rows.
+in order of start, then kind. Spans of the patterns may overlap; of a run that meets one only the parts
+beside it are searched. Repeated rows get equal spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,17 +88,60 @@ def chain(strings: Iterable[str]) -> np.ndarray:
 def drawn(n: int, seed: int = 7) -> list[str]:
     """Random strings over the alphabets that keys are written in."""
     random = np.random.default_rng(seed)
-    alphabets = ["0123456789abcdef", _LETTERS[:62], _LETTERS[:64], "0123456789ABCDEF"]
+    alphabets = [
+        "0123456789abcdef", _LETTERS[:62], _LETTERS[:64], "0123456789ABCDEF", _LETTERS[26:62]]
     return [
         "".join(random.choice(list(alphabets[i % len(alphabets)]), int(random.integers(16, 48))))
         for i in range(n)
     ]
 
 
-def score(text: str, model: np.ndarray) -> float:
-    """Mean log likelihood ratio of a string's characters, random over ordinary."""
+def ratios(text: str, model: np.ndarray) -> np.ndarray:
+    """Log likelihood ratio of each of a string's characters, random over ordinary."""
     codes = np.concatenate([[_SYMBOLS - 1], _codes(text)])
-    return float(model[codes[:-1], codes[1:]].mean())
+    return model[codes[:-1], codes[1:]]
+
+
+def score(text: str, model: np.ndarray) -> float:
+    """The mean of a string's ratios."""
+    return float(ratios(text, model).mean())
+
+
+def best_stretch(excess: np.ndarray) -> tuple[int, int]:
+    """Start and end of the stretch with the largest sum, from running sums; the first on ties."""
+    ends = np.cumsum(excess)
+    before = np.minimum.accumulate(np.concatenate([[0.0], ends[:-1]]))
+    end = int(np.argmax(ends - before))
+    start = int(np.argmin(np.concatenate([[0.0], ends[:end]])))
+    return start, end + 1
+
+
+def random_stretches(run: str, model: np.ndarray, margin: float) -> list[tuple[int, int]]:
+    """Where a run of key characters holds random strings; the run itself if it is one."""
+    values = ratios(run, model)
+    found, parts = [], [(0, len(run))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < RUN:
+            continue
+        a, b = low, high
+        if values[a:b].mean() < margin:
+            a, b = (low + x for x in best_stretch(values[low:high] - margin / 2))
+        if b - a < RUN or values[a:b].mean() < margin or len(set(run[a:b])) < DISTINCT:
+            continue
+        found.append((a, b))
+        parts += [(low, a), (b, high)]
+    return found
+
+
+def _beside(start: int, end: int, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no span covers; spans in order of start."""
+    out = []
+    for a, b, _ in spans:
+        if a < end and start < b:
+            out.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*out, (start, end)] if b - a >= RUN]
 
 
 def fit(texts: Iterable[str]) -> np.ndarray:
@@ -123,18 +168,18 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), spare.cast("long")) + 1
     chosen = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bar).select(
         F.substring(F.col("text"), start.cast("int"), F.lit(SAMPLE_CHARS)).alias("piece"))
-    return sorted(r["piece"] for r in chosen.limit(2 * rows).collect())
+    # A hash that many rows share could bring more than the bound: the lowest texts then stay.
+    return [r["piece"] for r in chosen.orderBy("piece").limit(2 * rows).collect()]
 
 
 def spans_of(text: str, model: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, str]]:
     spans = base_spans(text)
     found = list(spans)
     for m in _RUNS.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in spans):
-            continue
-        run = m.group()
-        if len(set(run)) >= DISTINCT and score(run, model) >= margin:
-            found.append((m.start(), m.end(), "markov"))
+        for start, end in _beside(m.start(), m.end(), spans):
+            found += [
+                (start + a, start + b, "markov")
+                for a, b in random_stretches(text[start:end], model, margin)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

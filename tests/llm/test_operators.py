@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -220,6 +221,46 @@ def test_random_strings_are_told_from_identifiers():
     assert secrets.masked(f"é see {keys[0]} here", spans) == "é see [markov] here"
 
 
+@pytest.fixture(scope="module")
+def key_model(folder):
+    texts = pq.read_table(f"{folder}/documents.parquet")["text"].to_pylist()
+    return secrets.fit([t[:4000] for t in texts if t])
+
+
+ALPHABETS = {
+    "lower": secrets._LETTERS[26:62], "upper hex": "0123456789ABCDEF", "letters": secrets._LETTERS[:62],
+    "base64": secrets._LETTERS[:64],
+}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("prefix", [
+    "", "services/team/", "my_long_prefix_", "the-quarterly-report-of-the-billing-team-"])
+def test_keys_inside_longer_runs(key_model, alphabet, prefix):
+    """A key counts as found when a span covers it but for a few characters at its ends."""
+    rng = np.random.default_rng(21)
+    keys = ["".join(rng.choice(list(ALPHABETS[alphabet]), 32)) for _ in range(100)]
+    found = [
+        any(a <= len(prefix) + 8 and b >= len(prefix) + 24 for a, b, _ in secrets.spans_of(
+            f"{prefix}{key}", key_model)) for key in keys]
+    assert np.mean(found) >= 0.9
+
+
+def test_plain_names_and_parts_beside_patterns(key_model):
+    rng = np.random.default_rng(22)
+    words = np.array("report team billing service account number status payment invoice".split())
+    plain = ["-/_"[i % 3].join(rng.choice(words, 6)) for i in range(600)]
+    assert sum(bool(secrets.spans_of(p, key_model)) for p in plain) <= 6
+    key = "".join(rng.choice(list(secrets._LETTERS[:62]), 40))
+    text = f"token=abc.def {key}/{'0f' * 14}Z{key}"
+    spans = secrets.spans_of(text, key_model)
+    at = text.index("0f")
+    assert (at, at + 28, "hex") in spans
+    marks = [s for s in spans if s[2] == "markov"]
+    assert len(marks) == 2 and marks[0][1] <= at and marks[1][0] >= at + 28
+    assert secrets.best_stretch(np.array([-1.0, 2, 3, -1, 4, -9, 5])) == (1, 5)
+
+
 def test_base_spans_drop_failing_matches():
     assert secrets.base_spans("token=token : abcdefgh") == []
     assert secrets.base_spans('Api_Key": "abcdef') == [(0, 17, "assign")]

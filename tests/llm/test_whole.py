@@ -7,11 +7,12 @@ from compare import connect, difference
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from casebook.llm import phrase_index
+from casebook.llm import lm_score, phrase_index
 
 
 def test_order_three_is_registered(spark, folder):
-    name = "op9_lm_scoring_order3"
+    name = "op9_lm_scoring"
+    assert lm_score.ORDER == 3 and not [n for n in entry.queries() if n.startswith(name + "_")]
     query, sql = entry.queries()[name], entry.oracle_sql()[name]
     assert difference(spark, connect(folder), folder, query, sql) is None
 
