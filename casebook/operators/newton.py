@@ -373,16 +373,18 @@ class _Fit:
 
 
     def solution(self) -> Solution:
-        return Solution(self.p, self.w, float(np.abs(self.g).max()), self.steps)
+        return Solution(self.p, self.w, float(np.abs(self.g).max()), self.first, self.steps)
 
 
 @dataclass
 class Solution:
-    """Coefficients (the last row is the intercept), and the largest gradient entry there."""
+    """Coefficients (the last row is the intercept), the largest gradient entry there, and the
+    length of the gradient at the start."""
 
     problem: Problem
     w: np.ndarray = field(repr=False)
     gradient: float = 0.0
+    first: float = 0.0
     steps: int = 0
 
 
@@ -462,16 +464,17 @@ def _dealt(
             "i": pa.array([i for i, _ in numbered], pa.int32()),
             "w": pa.array([f.w.tobytes() for f in fits], pa.binary()),
             "gradient": [f.solution().gradient for f in fits],
+            "first": [f.first for f in fits],
             "steps": pa.array([f.steps for f in fits], pa.int32())})
 
     copies = blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     found = copies.repartitionByRange(shares, "share").groupBy("share").applyInArrow(
-        run, "i int, w binary, gradient double, steps int").toArrow()
+        run, "i int, w binary, gradient double, first double, steps int").toArrow()
     out = {}
     for row in found.to_pylist():
         p = problems[row["i"]]
         w = np.frombuffer(row["w"]).reshape(width + 1, p.columns)
-        out[p.key] = Solution(p, w, row["gradient"], row["steps"])
+        out[p.key] = Solution(p, w, row["gradient"], row["first"], row["steps"])
     sent.destroy()
     return out
 

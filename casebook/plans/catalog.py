@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.functions import text as T
@@ -792,6 +793,72 @@ def level1_svc_checks(spark, folder):
     return _checked(model.add_probabilities(p.test, "p"))
 
 
+@query
+def level1_optimality(spark, folder):
+    """Both level-1 fits end where no gradient entry exceeds 1e-4 of the first gradient's length;
+    the SVM's objective is strictly convex, so it is the only such place."""
+    train = classify.bounded_rows(_prepared(spark, folder).train, "issue_group", SETTINGS)
+    level = classify.fit_level(train, "issue_group", SETTINGS)
+    rows = [
+        (model, len(own), all(x.gradient <= 1e-4 * x.first for x in own), all(x.steps > 0 for x in own))
+        for model in classify.MODELS
+        for own in [[x for key, x in level.solutions.items() if key[0] == model]]]
+    return spark.createDataFrame(rows, "model string, n_fits long, flat boolean, moved boolean")
+
+
+@query
+def level1_better_than_majority(spark, folder):
+    """Test macro F1 of the ensemble against that of always naming the largest class."""
+    p = _prepared(spark, folder)
+    level, told = classify.fit_level1(p.train, p.test, "issue_group", SETTINGS)
+    sizes = classify.class_sizes(p.train, "issue_group")
+    guess = F.lit(max(sizes, key=sizes.get))
+    both = told.select(F.col("issue_group").alias("y_true"), F.explode(F.array(
+        F.struct(F.lit("fitted").alias("kind"), F.col("pred1").alias("y_pred")),
+        F.struct(F.lit("majority").alias("kind"), guess.alias("y_pred")))).alias("x"))
+    scores = evaluate.macro_f1(
+        evaluate.outcomes(both.select("y_true", "x.*"), by=["kind"]), ["kind"])
+    of = {k: F.max(F.when(F.col("kind") == k, F.col("macro_f1"))) for k in ("fitted", "majority")}
+    return scores.agg((of["fitted"] > of["majority"] + 0.3).alias("better"))
+
+
+@query
+def cascade_vectors(spark, folder):
+    """Level-2 features: how many entries follow the text's, and that these are probabilities."""
+    p = _prepared(spark, folder)
+    rows = classify.with_cascade_features(_out_of_fold(spark, folder)).where("not is_augmented")
+    width = p.vocabulary.count()
+    values = vector_to_array("features")
+    last = F.slice(values, width + 1, 1 << 20)
+    return rows.select(
+        "doc_id", (F.size(values) - width).cast("long").alias("n_extra"),
+        (F.abs(F.aggregate(last, F.lit(0.0), lambda a, b: a + b) - 1) < 1e-6).alias("adds_up"))
+
+
+@query
+def alt_grouping_checks(spark, folder):
+    """Every test row with an alternative group is predicted, with probabilities over both."""
+    scored = triage.alternative_level1(_prepared(spark, folder), SETTINGS)
+    return _checked(scored.withColumnRenamed("p1", "p")).join(
+        scored.select("doc_id", F.col("y_true").alias("label")), "doc_id")
+
+
+@query
+def cascade_confusion_checks(spark, folder):
+    """The level-1 confusion of a real run adds up to the test rows of each true group."""
+    run = _run(spark, folder, "broad")
+    tables = triage.report(run, "broad_group", "sub_issue_group", run.level1.classes)
+    return tables.level1_confusion.groupBy("t").agg(F.sum("n").alias("n"))
+
+
+@query
+def cascade_pairs(spark, folder):
+    """The confused pairs of level 1 of a real run."""
+    run = _run(spark, folder, "broad")
+    tables = triage.report(run, "broad_group", "sub_issue_group", run.level1.classes)
+    return rounded(tables.level1_pairs, "rate")
+
+
 @query
 def grid_search_checks(spark, folder):
     scores = grid_search(spark, folder)
@@ -970,5 +1037,6 @@ def auto_confusion(spark, folder):
 
 
 # The heaviest fits come last.
-for _name in ("grid_search", "grid_search_checks", "issue_cascade", "issue_cascade_checks"):
+for _name in ("grid_search", "grid_search_checks", "issue_cascade", "issue_cascade_checks",
+              "alt_grouping", "run_summary"):
     QUERIES[_name] = QUERIES.pop(_name)

@@ -116,14 +116,14 @@ _rules = ", ".join(
     for i, (old, new) in enumerate(rules, start=1)
 )
 LEXICON = TOKENS + f""",
-counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM toks) GROUP BY 1),
+counts AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM toks) GROUP BY 1),
 rules(kind, rule, old, new) AS (VALUES {_rules}),
-candidates AS (
+candidates AS MATERIALIZED (
   SELECT token, kind, rule, left(token, length(token) - length(old)) || new AS stem
   FROM counts, rules WHERE ends_with(token, old) AND length(token) > length(old)
   UNION ALL
   SELECT token, kind, 0, token FROM counts, (VALUES ('n'), ('v')) k(kind)),
-best AS (
+best AS MATERIALIZED (
   SELECT token, kind, stem FROM candidates WHERE stem IN (SELECT token FROM counts)
   QUALIFY row_number() OVER (PARTITION BY token, kind ORDER BY length(stem), rule) = 1),
 lexicon AS (
@@ -566,6 +566,15 @@ FROM split LEFT JOIN weights USING (doc_id) GROUP BY 1""",
     "level1_svc_checks": f"WITH {SPLIT} SELECT doc_id, {_ISSUES} AS n_classes, {_CHECKS} FROM split WHERE is_test",
     "grid_search_checks": """SELECT model, 4 AS n_cells, 1 AS n_best, true AS in_range
 FROM (VALUES ('logistic'), ('svc')) t(model)""",
+    "level1_optimality": f"""WITH {SPLIT} SELECT 'logistic' AS model, 1 AS n_fits, true AS flat, true AS moved
+UNION ALL SELECT 'svc', 3 * count(DISTINCT issue_group), true, true FROM split WHERE NOT is_test""",
+    "level1_better_than_majority": "SELECT true AS better",
+    "cascade_vectors": f"""WITH {SPLIT} SELECT doc_id, 2 AS n_extra, true AS adds_up FROM split
+WHERE NOT is_test AND broad_group IS NOT NULL""",
+    "alt_grouping_checks": f"""WITH {SPLIT} SELECT doc_id, 2 AS n_classes, {_CHECKS}, b.label_group AS label
+FROM split JOIN broad_map b ON b.label = split.issue_group WHERE is_test""",
+    "cascade_confusion_checks": f"""WITH {SPLIT} SELECT broad_group AS t, count(*) AS n FROM split
+WHERE is_test AND broad_group IS NOT NULL GROUP BY 1""",
     "out_of_fold_checks": f"""WITH {SPLIT} SELECT doc_id, 2 AS n_classes, {_CHECKS} FROM split
 WHERE NOT is_test AND broad_group IS NOT NULL""",
     "level2_cascade_checks": f"WITH {SPLIT} SELECT doc_id, {_CASCADE}, 2 AS n_level1 FROM split WHERE is_test",

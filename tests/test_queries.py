@@ -10,10 +10,10 @@ from casebook.plans.catalog import QUERIES
 from casebook.plans.oracle import SQL
 
 
-# Full training takes minutes; TEST_SLOW=1 runs these too. test_models has the same checks.
+# Whole cascades take a minute each; TEST_SLOW=1 runs these too. test_models has the same checks.
 SLOW = {
-    "level1_svc_checks", "out_of_fold_checks", "level2_cascade_checks", "cascade_sweep_checks",
-    "issue_cascade_checks", "grid_search_checks", "small_class_fallback",
+    "cascade_vectors", "alt_grouping_checks", "cascade_confusion_checks", "level2_cascade_checks",
+    "cascade_sweep_checks", "issue_cascade_checks", "grid_search_checks",
 }
 
 
@@ -35,5 +35,6 @@ def test_every_query_but_the_models_has_sql():
     models = {
         "level1_lr", "level1_svc_calibrated", "grid_search", "out_of_fold", "level2_cascade",
         "cascade_sweep", "issue_cascade", "alt_grouping", "run_summary", "cascade_report",
+        "cascade_pairs",
     }
     assert set(QUERIES) - set(SQL) == models
