@@ -204,25 +204,54 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     )
 
 
+#: Cells of the binned column to one bandwidth.
+CELLS_PER_BANDWIDTH = 4096
+
+
+def _kernel_sums(x: np.ndarray, lo: float, step: float, h: float):
+    """What the cells of a task add to the kernel sums at the points ``x``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = np.zeros(len(x))
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            n, part = batch.column("n").to_numpy(), batch.column("part").to_numpy()
+            for at in range(0, len(cell), 4096):
+                some = slice(at, at + 4096)
+                for edge, weight in ((0, (n - part)[some]), (1, part[some])):
+                    v = lo + (cell[some] + edge) * step
+                    mass += np.exp(-0.5 * ((x[:, None] - v[None]) / h) ** 2) @ weight
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(x))), pa.array(mass)], ["point", "mass"])
+
+    return run
+
+
 def kernel_density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """``(point, x, density)``: Gaussian kernels, Scott bandwidth, grid over ``[min, max]``.
 
-    A column without spread has no density and gives no rows.
-    Each value adds to every grid point inside its own task, so the shuffle carries at
-    most ``points`` partial sums per task.
+    Values are counted in cells of a ``CELLS_PER_BANDWIDTH``-th of the bandwidth ``h``, each shared
+    between the two ends of its cell by distance, and the kernel is applied to the cells. That is
+    linear interpolation of the kernel, so a density is off by less than ``3e-9 / h`` (its second
+    derivative is ``1 / (sqrt(2 pi) h^3)`` at most). Cells grow with the power 1/5 of the rows.
+    A column without spread or with an infinite value has no density and gives no rows.
     """
     c = values_of(df, column)
-    spread = (c.table.agg(F.stddev_samp("v")).first()[0] or 0.0) if c.width > 0 else 0.0
+    spread = c.table.agg(F.stddev_samp("v")).first()[0] if c.width > 0 else None
+    spread = spread if spread and math.isfinite(c.width) and math.isfinite(spread) else 0.0
     h = spread * max(c.total, 1) ** -0.2 or 1.0
-    x = F.lit(c.lo).cast("double") + F.col("point") * F.lit(c.width) / (points - 1)
+    lo, step = c.lo or 0.0, h / CELLS_PER_BANDWIDTH
+    x = lo + np.arange(points) * (c.width if spread else 0.0) / (points - 1)
+    place = (F.col("v") - lo) / step
+    cells = c.table.where(F.lit(spread > 0)).groupBy(F.floor(place).alias("cell")).agg(
+        F.count("v").cast("double").alias("n"), F.sum(place - F.floor(place)).alias("part"))
+    sums = cells.mapInArrow(_kernel_sums(x, lo, step, h), "point long, mass double")
+    at = F.lit(lo) + F.col("point") * F.lit(c.width if spread else 0.0) / (points - 1)
     return (
-        c.table.where(F.lit(spread > 0))
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("point")
-        .agg(F.sum(F.exp(-0.5 * F.pow((x - F.col("v")) / h, 2))).alias("mass"))
+        sums.groupBy("point").agg(F.sum("mass").alias("mass"))
+        .where(F.lit(spread > 0))
         .select(
-            F.col("point").cast("long").alias("point"),
-            x.alias("x"),
+            "point", at.alias("x"),
             (F.col("mass") / (c.total * h * F.sqrt(2 * F.pi()))).alias("density"),
         )
         .orderBy("point")

@@ -152,6 +152,14 @@ def test_kernel_density(spark):
     got = distribution.kernel_density(df, "v").orderBy("point").collect()
     assert len(got) == 200 and got[0].x == 0.1 and got[-1].x == pytest.approx(0.9)
     assert distribution.kernel_density(df.limit(1), "v").count() == 0
+    values, n = [0.1, 0.4, 0.4, 0.9], 4
+    mean = sum(values) / n
+    h = (sum((v - mean) ** 2 for v in values) / (n - 1)) ** 0.5 * n**-0.2
+    for r in got:
+        want = sum(math.exp(-0.5 * ((r.x - v) / h) ** 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert abs(r.density - want) < 3e-9 / h
+    endless = spark.createDataFrame([(1.0,), (float("inf"),), (2.0,)], "v double")
+    assert distribution.kernel_density(endless, "v").count() == 0
 
 
 def cells(spark, matrix):
