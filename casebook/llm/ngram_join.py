@@ -51,6 +51,8 @@ SKETCH_CELLS = 512
 HUBS = 12
 LIST_BLOCK = 1_024
 PAIRS_AT_ONCE = 100_000
+#: Distinct pairs that a task holds before it hands them on; lists that share members repeat pairs.
+PAIRS_HELD = 1_000_000
 
 WORD = wordhash.byte_class((0x20, 0x20), (0x09, 0x0D))
 _PLACE = wordhash._numbers(64, 3) | np.uint64(1)
@@ -376,6 +378,7 @@ def _left(batches: Iterator[pa.RecordBatch], percent: int):
     The rows come in order of their list and blocks; a group that a batch cuts is carried over.
     """
     carried = None
+    pending, held = [], 0
     for batch in itertools.chain(batches, [None]):
         table = pa.Table.from_batches([batch]) if batch is not None else None
         if carried is not None:
@@ -413,8 +416,20 @@ def _left(batches: Iterator[pa.RecordBatch], percent: int):
             a, b = ids[a[ok]], ids[b[ok]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             row = until
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        pending.append(np.unique(np.concatenate(found, axis=1), axis=1))
+        held += pending[-1].shape[1]
+        if held > PAIRS_HELD:
+            pending = [np.unique(np.concatenate(pending, axis=1), axis=1)]
+            held = pending[0].shape[1]
+            if held > PAIRS_HELD // 2:
+                yield _pair_batch(pending[0])
+                pending, held = [], 0
+    if pending:
+        yield _pair_batch(np.unique(np.concatenate(pending, axis=1), axis=1))
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], ["a", "b"])
 
 
 def left_pairs(met: DataFrame, labels: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
