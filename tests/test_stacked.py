@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F, types as T
@@ -214,3 +215,55 @@ def test_calibration_parts_are_stratified_for_every_mask(frame):
             sizes = [own.count(i) for i in range(3)]
             assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(own)
     assert stacked.MODELS == ("logistic", "svc")
+
+
+def packed_block(n=40, width=30, seed=3):
+    rng = np.random.default_rng(seed)
+    dense_rows = rng.normal(size=(n, width)) * (rng.random((n, width)) < 0.2)
+    places = [np.flatnonzero(r).astype(np.int32) for r in dense_rows]
+    features = pa.StructArray.from_arrays(
+        [pa.array([0] * n, pa.int8()), pa.array([width] * n, pa.int32()),
+         pa.array(places, pa.list_(pa.int32())),
+         pa.array([r[p] for r, p in zip(dense_rows, places)], pa.list_(pa.float64()))],
+        ["type", "size", "indices", "values"])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0] * n, pa.int32()), pa.array([i % 2 for i in range(n)], pa.int32()),
+         pa.array([-1] * n, pa.int32()), pa.array([[-1]] * n, pa.list_(pa.int32())), features],
+        ["g", "y", "fold", "cal", "features"])
+    parts = [newton._packed(batch.slice(a, 13), 0, width).to_pylist()[0] for a in range(0, n, 13)]
+    return np.column_stack([dense_rows, np.ones(n)]), newton.Block.merged(
+        [newton.Block(p) for p in parts])
+
+
+def test_merged_blocks_multiply_like_dense_rows(monkeypatch):
+    x, block = packed_block()
+    monkeypatch.setattr(newton, "_CELLS", 7)
+    m = np.random.default_rng(1).normal(size=(31, 6))
+    z = block.x.times(m)
+    assert np.allclose(z, x @ m)
+    out = np.zeros((31, 6))
+    block.add_transposed(z, out)
+    assert np.allclose(out, x.T @ (x @ m))
+
+
+def test_scores_are_kept_between_products(monkeypatch):
+    """A pass at hand multiplies the rows by one column, the step or its trial, never by both."""
+    x, block = packed_block()
+    widths, passes, times, take = [], [], newton.Sparse.times, newton._Fit.take
+    monkeypatch.setattr(newton.Sparse, "times", lambda s, m: widths.append(m.shape[1]) or times(s, m))
+    monkeypatch.setattr(newton._Fit, "take", lambda s, *a: passes.append(1) or take(s, *a))
+    p = newton.Problem(("p",), 0, "logit", 1.0, (1.0, 1.0), target=1)
+    fit = newton._Fit(p, 30, 1e-8, 100)
+    newton._fitted(fit, block, 30)
+    assert fit.done and sum(widths) == len(passes) > 3
+    t = np.where(np.arange(40) % 2 == 1, 1.0, -1.0)
+    w = fit.w[:, 0]
+    gradient = np.append(w[:-1], 0) - x.T @ (t / (1 + np.exp(t * (x @ w))))
+    assert np.abs(gradient).max() < 1e-6
+
+
+def test_no_calibration_parts_where_no_svm_can_be_fitted(frame, monkeypatch):
+    monkeypatch.setattr(stacked, "_with_parts", None)
+    rare = F.when(F.col("doc_id") == 3, "rare").otherwise(F.col("label"))
+    level = c.fit_level(frame.withColumn("label", rare), "label", EXACT)
+    assert len(level.ensemble().models) == 1
