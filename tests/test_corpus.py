@@ -205,3 +205,31 @@ def test_most_frequent_takes_ties_by_term(spark):
     for k, want in [(1, "d"), (3, "ade"), (4, "abde"), (5, "abcde"), (9, "abcde")]:
         got = {r.t for r in tfidf.most_frequent(df, "n", "t", k).collect()}
         assert got == set(want)
+
+
+def test_only_rare_tokens_are_taken_out(spark, monkeypatch):
+    words = [f"w{i}s" for i in range(40)]
+    docs = spark.createDataFrame(
+        [(i, ["plain", words[i % 40], "other", words[0], words[i % 7]]) for i in range(60)] + [(99, None)],
+        "doc_id long, tokens array<string>")
+    lex = lexicon.build_lexicon(lexicon.token_counts(docs).unionByName(
+        spark.createDataFrame([(w[:-1], 0) for w in words], "token string, n long"))).localCheckpoint()
+    frames = {}
+    monkeypatch.setattr(lexicon, "stage", lambda df, name: frames.setdefault(name, df.localCheckpoint()))
+    want = {r.doc_id: r.tokens for r in lexicon.lemmatise(docs, lex).collect()}
+    got = {r.doc_id: r.tokens for r in lexicon.lemmatise(docs, lex, hot_tokens=7).collect()}
+    assert got == want and got[99] == [] and got[1] == ["plain", "w1", "other", "w0", "w1"]
+    taken = [t.token for r in frames["lemmatised"].collect() for t in r.rest]
+    assert set(taken) == set(words[7:]) and len(taken) == 40 - 7 + 20 - 7
+
+
+def test_term_counts_where_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "TERMS_AT_ONCE", 3)
+    rows = [(1, ["a", "b", "a"]), (2, ["a"]), (2, ["a", "c"]), (None, ["x"]), (None, ["x"]), (3, []), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>")
+    got = {(r.doc_id, r.term): r.tf for r in tfidf.term_counts(docs).collect()}
+    assert got == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 2, (2, "c"): 1, (None, "x"): 2}
+    alone = tfidf.term_counts(docs.where("doc_id = 1"))._jdf.queryExecution().optimizedPlan().toString()
+    assert alone.count("MapInArrow") == 2
+    found = {r.term: (r.df, r.cf) for r in tfidf.term_statistics(docs).collect()}
+    assert found == {"a": (3, 4), "b": (1, 1), "c": (1, 1), "x": (2, 2)}
