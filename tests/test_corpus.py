@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,56 @@ def test_term_counts_where_rows_lie(spark, monkeypatch):
     assert alone.count("MapInArrow") == 2
     found = {r.term: (r.df, r.cf) for r in tfidf.term_statistics(docs).collect()}
     assert found == {"a": (3, 4), "b": (1, 1), "c": (1, 1), "x": (2, 2)}
+
+
+def test_bigrams_are_paired_in_the_tasks(spark, monkeypatch):
+    words = ["a", "bb", "bb cc", "cc", "\u00e9\u00e9", "\u00e9", "dd", None, ""]
+    rows = [(i, [words[(i * 7 + j * j) % len(words)] for j in range(i % 11)]) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(99, None)], "doc_id long, tokens array<string>").repartition(3)
+    terms = tfidf.with_terms(docs.where("tokens is not null"))
+    want = {r.term: (r.df, r.cf) for r in tfidf.term_statistics(terms).collect()}
+    assert "bb cc" in want and "bb cc dd" in want
+    got = {r.term: (r.df, r.cf) for r in tfidf.term_statistics(docs, "tokens").collect()}
+    assert got == want
+    vocab = tfidf.fit_vocabulary(docs, min_df=2, max_df=1.0, tokens="tokens").cache()
+    wide = {r.doc_id: r.features for r in tfidf.transform(terms, vocab).collect()}
+    made = {r.doc_id: r.features for r in tfidf.transform(docs, vocab, "tokens").collect()}
+    assert made.pop(99).indices == [] and len(made) == 60
+    for i, own in made.items():
+        assert own.indices == wide[i].indices == sorted(set(own.indices))
+        assert own["values"] == pytest.approx(wide[i]["values"])
+        assert not own.indices or sum(w * w for w in own["values"]) == pytest.approx(1)
+
+
+def test_few_terms_at_a_time_give_the_same(monkeypatch):
+    column = pa.array([["bb", "cc", "bb", "cc"], [], None, ["cc"], ["bb", "cc"]] * 9)
+
+    def counts():
+        out = Counter()
+        for first, rows, codes, n, names in tfidf._coded(column, True):
+            for r, c, k in zip(rows.tolist(), codes.tolist(), n.tolist()):
+                out[first + r, names[c].as_py()] += k
+        return out
+
+    whole = counts()
+    assert whole[0, "bb cc"] == 2 and whole[3, "cc"] == 1
+    monkeypatch.setattr(tfidf, "TERMS_AT_ONCE", 6)
+    assert counts() == whole
+
+
+def test_labels_travel_with_their_texts(spark):
+    """Lemmas need no join with their labels: no document is shuffled."""
+    docs = spark.createDataFrame(
+        [(i, f"loans loan payment number{i}", f"issue {i % 2}") for i in range(9)],
+        "doc_id long, narrative string, issue string")
+    lemmas, _ = lexicon.clean_corpus(docs, "narrative", keep=["issue"])
+    assert {r.doc_id: r.issue for r in lemmas.collect()} == {i: f"issue {i % 2}" for i in range(9)}
+    assert "Exchange" not in lemmas._jdf.queryExecution().executedPlan().toString()
+    lex = spark.createDataFrame(
+        [("loans", 9, "loan"), ("payments", 1, "payment")], "token string, n long, lemma string")
+    rows = spark.createDataFrame(
+        [(1, ["loans"], "x"), (2, ["payments", "loans"], "y"), (3, [], None)],
+        "doc_id long, tokens array<string>, rest string")
+    got = lexicon.lemmatise(rows, lex, hot_tokens=1, keep=["rest"]).collect()
+    assert {r.doc_id: (r.tokens, r.rest) for r in got} == {
+        1: (["loan"], "x"), 2: (["payment", "loan"], "y"), 3: ([], None)}
