@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.llm import wordhash
 from casebook.llm.memory import tidy
-from casebook.sources.staging import bounded, stage
+from casebook.sources.staging import bounded, stage, stage_alone
 
 N = 5
 PERCENT = 80
@@ -485,12 +485,12 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int, counts):
         })
 
 
-def links(pairs: DataFrame, sets: DataFrame, percent: int, counts, name: str) -> DataFrame:
+def links(pairs: DataFrame, sets: DataFrame, percent: int, counts) -> DataFrame:
     """The pairs that share prefix tokens in every other order and reach the similarity."""
     x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(tidy(lambda rows: _verified(rows, percent, counts)), "a long, b long"), name)
+    return both.mapInArrow(tidy(lambda rows: _verified(rows, percent, counts)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -537,8 +537,11 @@ def similar(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
 
     def linked(pairs, name):
-        pairs = stage(pairs, f"{name}_pairs")
-        return links(pairs, sets_for(docs, known, pairs, n), percent, counts, f"{name}_links")
+        def found():
+            staged = stage(pairs, f"{name}_pairs")
+            return links(staged, sets_for(docs, known, staged, n), percent, counts)
+
+        return stage_alone(found, f"{name}_links")
 
     first = linked(hub_pairs(met, traits, percent), "hub")
     labels = components(first)

@@ -16,10 +16,12 @@ language and text alone. Extra columns are carried along, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.llm import exact_dedup, language, ngram_join, packing, phrase_index
-from casebook.sources.staging import bounded, stage
+from casebook.sources.staging import bounded, stage, stage_alone
 from casebook.sources.tables import read_table
 
 LEAST_SCORE = 0.3
@@ -41,9 +43,11 @@ def _rows(docs: DataFrame, **keys) -> DataFrame:
     )
 
 
-def _without(rows: DataFrame, out: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` but for the keys of ``out``: broadcast while these are few, else shuffled."""
-    out = stage(out.distinct(), "out")
+def _without(rows: DataFrame, find: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
+    """``rows`` but for the keys that ``find`` returns: broadcast while these are few, else shuffled.
+
+    What ``find`` stages on the way is deleted once the keys are found."""
+    out = stage_alone(lambda: find().distinct(), "out")
     return rows.join(bounded(out, BROADCAST_ROWS), keys, "left_anti")
 
 
@@ -58,7 +62,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stage(exact_dedup.equal_texts(docs.select("doc_id", "text")), "exact")
+    groups = stage_alone(lambda: exact_dedup.equal_texts(docs.select("doc_id", "text")), "exact")
     keys = [F.col("doc_id"), F.col("text_sha256")]
     # A pair that repeats: its rows can't be told apart, one of them stays if one is kept.
     pairs = groups.groupBy(*keys).agg(
@@ -70,7 +74,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         null_safe["id"].alias("id"), F.col("text_sha256").alias("digest"))
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
     rows = _rows(docs, digest=digest, **null_safe)
-    kept = _without(rows, out, ["id", "digest"]).select("row.*")
+    kept = _without(rows, lambda: out, ["id", "digest"]).select("row.*")
     if repeated.where("kept").isEmpty():
         return kept
     again = repeated.where("kept").select(
@@ -87,25 +91,31 @@ def _key() -> F.Column:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _lean(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
-    found = ngram_join.similar(keyed.select(F.col("key").alias("doc_id"), "text"))
-    moved = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id")
-    groups = stage(moved.groupBy("component_id").agg(
-        F.count_distinct("key").alias("n")).where("n > 1").select("component_id"), "near_groups")
-    members = stage(
-        moved.join(bounded(groups, BROADCAST_ROWS), "component_id", "left_semi").distinct(), "near")
-    ids = keyed.select("key", "doc_id").join(bounded(members, BROADCAST_ROWS), "key")
-    best = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
-    out = members.join(best.select("best.key"), "key", "left_anti").select("key")
-    return _without(_rows(docs, key=_key()), out, ["key"]).select("row.*")
+
+    def dropped() -> DataFrame:
+        found = ngram_join.similar(keyed.select(F.col("key").alias("doc_id"), "text"))
+        moved = found.where("doc_id is not null").select(F.col("doc_id").alias("key"), "component_id")
+        groups = stage(moved.groupBy("component_id").agg(
+            F.count_distinct("key").alias("n")).where("n > 1").select("component_id"), "near_groups")
+        members = stage(
+            moved.join(bounded(groups, BROADCAST_ROWS), "component_id", "left_semi").distinct(), "near")
+        ids = keyed.select("key", "doc_id").join(bounded(members, BROADCAST_ROWS), "key")
+        best = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+        return members.join(best.select("best.key"), "key", "left_anti").select("key")
+
+    return _without(_rows(docs, key=_key()), dropped, ["key"]).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _lean(spark)
-    found = phrase_index.matches(
-        docs.select(_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
-    judged = phrase_index.contamination(found).where("contaminated")
-    out = judged.select(F.col("doc_id").alias("key"))
-    return _without(_rows(docs, key=_key()), out, ["key"]).select("row.*")
+
+    def dropped() -> DataFrame:
+        found = phrase_index.matches(
+            docs.select(_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+        judged = phrase_index.contamination(found).where("contaminated")
+        return judged.select(F.col("doc_id").alias("key"))
+
+    return _without(_rows(docs, key=_key()), dropped, ["key"]).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""What stays on the executors' disks."""
+"""What stays on the executors' disks and in the shared folder."""
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from casebook.llm import lm_score
 from casebook.sources import staging
 
@@ -48,3 +50,20 @@ def test_one_length_of_gram_is_shuffled_at_a_time(spark, documents, monkeypatch)
     assert staged[0][0] == "segments" and [n for n, _ in staged[1:]] == ["answers"] * 3
     # The sum of all words may stay, grams do not.
     assert not staged[0][1] and staged[3][1] <= staged[1][1] and len(staged[1][1]) <= 8
+
+
+def test_a_stage_leaves_only_the_keys_it_drops(spark, documents, folder):
+    shared = Path(staging.run_folder(spark))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = documents([(1, text), (2, text + " x"), (3, text), (4, "another text"), (None, text)])
+    left = []
+    for function, want in [
+        (corpus_pipeline.exact, ["exact", "out", "repeated"]), (corpus_pipeline.near, ["out"]),
+        (corpus_pipeline.decontaminate, ["out"]),
+    ]:
+        before = set(shared.glob("*/*"))
+        out = function(spark, rows, folder)
+        assert sorted(p.name for p in set(shared.glob("*/*")) - before) == want
+        left.append(sorted(r["doc_id"] or 0 for r in out.collect()))
+    # The row without an id is a group's member like any other in exact dedup alone.
+    assert left == [[1, 2, 4], [0, 1, 4], [0, 1, 2, 3, 4]]
