@@ -21,18 +21,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casebook.llm import exact_dedup, language, ngram_join, packing, phrase_index
-from casebook.sources.staging import bounded, stage, stage_alone
+from casebook.sources.staging import bounded, lean, stage, stage_alone
 from casebook.sources.tables import read_table
 
 LEAST_SCORE = 0.3
 BROADCAST_ROWS = 1_000_000
-#: Bytes of an Arrow batch between Spark and the stages' Python code, on both sides of the pipe.
-BATCH_BYTES = 8 << 20
-
-
-def _lean(spark: SparkSession) -> None:
-    """Batches by bytes: texts are long, and every batch is held several times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def _rows(docs: DataFrame, **keys) -> DataFrame:
@@ -52,7 +45,7 @@ def _without(rows: DataFrame, find: Callable[[], DataFrame], keys: list[str]) ->
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _lean(spark)
+    lean(spark)
     net = language.learn(docs)
     found = language.predict(net, F.col("text"))
     judged = _rows(docs, found=found)
@@ -89,7 +82,7 @@ def _key() -> F.Column:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _lean(spark)
+    lean(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
 
     def dropped() -> DataFrame:
@@ -107,7 +100,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _lean(spark)
+    lean(spark)
 
     def dropped() -> DataFrame:
         found = phrase_index.matches(
@@ -119,7 +112,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _lean(spark)
+    lean(spark)
     return packing.pack(docs)
 
 
