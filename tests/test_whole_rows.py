@@ -120,6 +120,15 @@ def test_repeated_ids_are_calibrated(frame):
         assert parts.setdefault(r["doc_id"], r["_cal"][0]) == r["_cal"][0]
 
 
+def test_cascade_features_carry_no_names(frame):
+    """A name for each of the vocabulary's terms would lie on the driver with every frame."""
+    rows = frame.withColumn("p1", F.array(F.lit(0.25), F.lit(0.75)))
+    joined = c.with_cascade_features(rows)
+    assert joined.schema["features"].metadata == {}
+    first = joined.first()
+    assert len(first["features"]) == 14 and list(first["features"].toArray()[-2:]) == [0.25, 0.75]
+
+
 def test_products_leave_out_rows_beyond_the_margin(monkeypatch):
     rng = np.random.default_rng(2)
     dense = rng.normal(size=(60, 5)) + np.where(np.arange(60) % 2, 1.5, -1.5)[:, None]
